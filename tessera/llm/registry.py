@@ -5,12 +5,12 @@ from pyspark.sql import DataFrame
 
 from .sentencepiece_sampling import encode
 from .common import documents
-from . import lm_scoring, substring_dedup
+from . import lm_scoring, near_dedup, substring_dedup
 
 
 def op1_sentencepiece(spark, sf_dir: str) -> DataFrame:
     return encode(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_lm_scoring": lm_scoring.op3_lm_scoring, "op7_substring_dedup": substring_dedup.op7_substring_dedup}
+QUERIES = {"op1_sentencepiece": op1_sentencepiece, "op3_lm_scoring": lm_scoring.op3_lm_scoring, "op4_near_dedup": near_dedup.op4_near_dedup, "op7_substring_dedup": substring_dedup.op7_substring_dedup}
 SQL = {"op7_substring_dedup": substring_dedup.OP7_SQL}
