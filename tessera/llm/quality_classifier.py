@@ -34,43 +34,35 @@ CLASSES = {
 STATS = ["n_bytes", "n_words", "word_bytes", *CLASSES, "line_bytes", "dup_lines", "repeats", "distinct", "stops"]
 
 
+MEMBERS = np.zeros((256, len(CLASSES)))
+for _i, _members in enumerate(CLASSES.values()):
+    MEMBERS[list(_members), _i] = 1
+
+
+def repeated(sorted_hashes: np.ndarray) -> float:
+    """The share of entries that are equal to one before."""
+    return float(np.count_nonzero(sorted_hashes[1:] == sorted_hashes[:-1])) / max(1, len(sorted_hashes))
+
+
 def statistics_of(items: list[bytes]) -> np.ndarray:
     """One row of STATS for each text; shares are of its bytes, words or lines, and 0 where it has none."""
-    n = len(items)
-    out = np.zeros((n, len(STATS)))
-    size = np.fromiter(map(len, items), dtype=np.int64, count=n)
-    data = np.frombuffer(b"\n".join(items) + b"\n", dtype=np.uint8)
-    first = np.cumsum(size + 1) - size - 1
+    out = np.zeros((len(items), len(STATS)))
     words = Words(items)
-    count = np.maximum(words.counts, 1)
-    held = np.maximum(size, 1)
-    out[:, 0], out[:, 1] = np.log1p(size), np.log1p(words.counts)
-    gap = None
-    for i, members in enumerate(CLASSES.values()):
-        table = np.zeros(256, dtype=np.int32)
-        table[list(members)] = 1
-        hits = np.add.reduceat(table[data], first) if n else np.zeros(0)
-        if i == len(CLASSES) - 1:
-            hits, gap = hits - 1, hits - 1  # the one put after the text
-        out[:, 3 + i] = hits / held
-    out[:, 2] = (size - gap) / count
+    grams = windows(words.hash, 5)
     at = 3 + len(CLASSES)
     for i, x in enumerate(items):
+        seen = np.bincount(np.frombuffer(x, dtype=np.uint8), minlength=256) @ MEMBERS
+        a, b = int(words.first[i]), int(words.first[i + 1])
         lines = x.split(b"\n")
-        full = [y for y in lines if y.strip()]
-        out[i, at] = math.log1p(size[i] / len(lines))
+        full = [y.rstrip() for y in lines]
+        full = [y for y in full if y]
+        out[i, 0], out[i, 1], out[i, 2] = math.log1p(len(x)), math.log1p(b - a), (len(x) - seen[-1]) / max(1, b - a)
+        out[i, 3:at] = seen / max(1, len(x))
+        out[i, at] = math.log1p(len(x) / len(lines))
         out[i, at + 1] = (len(full) - len(set(full))) / max(1, len(full))
-        out[i, at + 4] = sum(y.rstrip().endswith((b".", b"!", b"?", b":")) for y in full) / max(1, len(full))
-    for column, k in ((at + 2, 5), (at + 3, 1)):
-        grams = windows(words.hash, k) if k > 1 else words.hash
-        doc = words.doc[: len(grams)]
-        inside = doc == words.doc[k - 1 :]
-        grams, doc = grams[inside], doc[inside]
-        order = np.lexsort((grams, doc))
-        grams, doc = grams[order], doc[order]
-        again = np.zeros(len(grams), dtype=bool)
-        again[1:] = (grams[1:] == grams[:-1]) & (doc[1:] == doc[:-1])
-        out[:, column] = np.bincount(doc, again, n) / np.maximum(np.bincount(doc, minlength=n), 1)
+        out[i, at + 2] = repeated(np.sort(grams[a : b - 4])) if b - a > 4 else 0.0
+        out[i, at + 3] = repeated(np.sort(words.hash[a:b]))
+        out[i, at + 4] = sum(y.endswith((b".", b"!", b"?", b":")) for y in full) / max(1, len(full))
     return out
 
 
