@@ -115,7 +115,7 @@ def relational_mean(edge_rows: DataFrame, features: DataFrame) -> DataFrame:
     """
     near = edge_rows.join(features.withColumnRenamed("node_id", "dst"), "dst")
     means = near.groupBy(F.col("src").alias("node_id"), "rel", "dim").agg(F.avg("value").alias("m"))
-    return means.groupBy("node_id", "dim").agg(F.round(F.sum("m"), 6).alias("value"))
+    return means.groupBy("node_id", "dim").agg(F.round(F.sum("m"), 9).alias("value"))
 
 
 def propagate(edge_rows: DataFrame, features: DataFrame, steps: int = 2) -> DataFrame:

@@ -1,3 +1,417 @@
-"""Queries by name, and the SQL that gives the same."""
+"""Queries by name over the driver's tables, and the SQL that gives the same."""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..operators import evaluation, faithfulness, fusion, graph, keyword, linking, normalize, querygen, vectors
+from ..sources.tables import table
+
 QUERIES: dict = {}
 SQL: dict = {}
+TOK = "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'), lambda t: length(t) >= 2)"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+
+
+# ---- terms, BM25, vectors, fusion
+
+TOKENS = f"tok AS (SELECT doc_id, {TOK} AS w FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) GROUP BY ALL)"
+
+
+@query(f"WITH {TOKENS} SELECT doc_id, len(w)::BIGINT AS dl, len(list_distinct(w))::BIGINT AS n_distinct FROM tok")
+def tokenize_stats(spark, d):
+    w = t.terms(F.col("text"))
+    return docs(spark, d).select("doc_id", F.size(w).cast("long").alias("dl"), F.size(F.array_distinct(w)).cast("long").alias("n_distinct"))
+
+
+@query(f"WITH {TOKENS} SELECT (SELECT count(*) FROM documents)::BIGINT AS n, (SELECT round(avg(len(w)), 6) FROM tok) AS avgdl, (SELECT count(DISTINCT term) FROM tf)::BIGINT AS n_terms")
+def corpus_stats(spark, d):
+    rows = docs(spark, d)
+    return keyword.corpus_stats(rows).select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(F.broadcast(keyword.term_frequency(rows).agg(F.countDistinct("term").alias("n_terms"))))  # one row each
+
+
+@query(f"WITH {TOKENS}, n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*)::BIGINT AS df, round(ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 6) AS idf FROM tf, n GROUP BY term, n")
+def idf_table(spark, d):
+    rows = docs(spark, d)
+    return keyword.idf(keyword.term_frequency(rows), F.lit(rows.count())).withColumn("idf", F.round("idf", 6))
+
+
+QTERMS = "qt AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: length(t) >= 2)) AS term FROM benchmark)"
+BM25 = f"""{TOKENS}, {QTERMS}, st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM tok), dl AS (SELECT doc_id, len(w) AS dl FROM tok),
+ w AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, st GROUP BY term, n),
+ bs AS (SELECT qid, doc_id, round(sum(idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM qt JOIN tf USING (term) JOIN w USING (term) JOIN dl USING (doc_id), st GROUP BY qid, doc_id),
+ br AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM bs)"""
+OVER = f"""ds AS (SELECT doc_id, len(list_distinct(w)) AS dn FROM tok), qn AS (SELECT qid, count(*) AS qn FROM qt GROUP BY qid),
+ os AS (SELECT qid, doc_id, round(count(*) / sqrt(any_value(qn) * any_value(dn)::DOUBLE), 6) AS score FROM qt JOIN tf USING (term) JOIN ds USING (doc_id) JOIN qn USING (qid) GROUP BY qid, doc_id),
+ orr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM os)"""
+FUSED = f"""{BM25}, {OVER}, u AS (SELECT qid, doc_id, rank, score, 'k' AS s FROM br WHERE rank <= 50 UNION ALL SELECT qid, doc_id, rank, score, 't' FROM orr WHERE rank <= 50),
+ fs AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, round(coalesce(max(CASE WHEN s = 'k' THEN score END), 0), 6) AS keyword_score, round(coalesce(max(CASE WHEN s = 't' THEN score END), 0), 6) AS text_score FROM u GROUP BY qid, doc_id),
+ fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fs)"""
+HYBRID = f"""{FUSED}, hy AS (SELECT fr.*, source, lang, substr(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), 1, 160) AS snippet FROM fr JOIN documents USING (doc_id) WHERE rank <= 10)"""
+GATED = f"""{HYBRID}, g AS (SELECT qid, count(*) FILTER (length(snippet) > 0)::BIGINT AS n_kept, coalesce(max(text_score) FILTER (length(snippet) > 0), 0) AS top FROM hy GROUP BY qid),
+ gr AS (SELECT qid, n_kept, round(greatest(0, least(1, top)), 4) AS confidence, CASE WHEN n_kept = 0 THEN 'no usable evidence' WHEN top < 0.35 THEN printf('top score %.2f is below the gate 0.35', top) END AS refusal FROM g)"""
+
+
+@query(f"WITH {BM25} SELECT qid, doc_id, score, rank::INT AS rank FROM br WHERE rank <= 10")
+def bm25_topk(spark, d):
+    return keyword.bm25(docs(spark, d), asked(spark, d), 10)
+
+
+@query(f"WITH {FUSED} SELECT qid, doc_id, score, keyword_score, text_score, rank::INT AS rank FROM fr WHERE rank <= 50")
+def rrf_fusion(spark, d):
+    rows, q = docs(spark, d), asked(spark, d)
+    return fusion.fuse({"keyword": keyword.bm25(rows, q), "text": fusion.overlap(rows, q)})
+
+
+@query(f"WITH {HYBRID} SELECT qid, doc_id, score, keyword_score, text_score, rank::INT AS rank, source, lang, snippet FROM hy")
+def hybrid_retrieve(spark, d):
+    return fusion.hybrid(docs(spark, d), asked(spark, d))
+
+
+@query(f"WITH {GATED} SELECT * FROM gr")
+def policy_gate(spark, d):
+    return fusion.gated(fusion.hybrid(docs(spark, d), asked(spark, d)))
+
+
+@query(f"""WITH {GATED} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY (lang <> 'en')::INT, score DESC, doc_id)::INT AS place, doc_id, score,
+ 'Document from ' || source || ': ' || regexp_replace(substr(snippet, 1, 80), '\\s+$', '') AS why FROM hy JOIN gr USING (qid) WHERE refusal IS NULL AND length(snippet) > 0""")
+def recommendations(spark, d):
+    return fusion.recommend(fusion.hybrid(docs(spark, d), asked(spark, d)))
+
+
+def stored_vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
+
+
+def vector_queries(spark, d):
+    """Every vector whose id is divisible by 100, against all vectors."""
+    return stored_vectors(spark, d).filter("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), "embedding", "label")
+
+
+def dense(name: str, dim: int, k: int) -> str:
+    return f"""{name}_s AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id, round(list_dot_product(q.embedding[1:{dim}]::DOUBLE[], e.embedding[1:{dim}]::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0),
+ {name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM {name}_s) WHERE rank <= {k})"""
+
+
+@query(f"WITH {dense('a', 64, 10)} SELECT qid, doc_id, score, rank::INT AS rank FROM a")
+def dense_topk(spark, d):
+    return vectors.dense_topk(stored_vectors(spark, d), vector_queries(spark, d), 10)
+
+
+@query("""WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '^\\s+|\\s+$', '', 'g'), '\\s+')) AS x FROM documents),
+ b AS (SELECT doc_id, (('0x' || substr(sha256(x), 1, 8))::BIGINT % 1024)::INT AS bucket, count(*) AS n FROM w WHERE length(x) >= 3 GROUP BY ALL)
+SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS value FROM b""")
+def hashed_bow_embed(spark, d):
+    return vectors.hashed_bow(docs(spark, d))
+
+
+# ---- evaluation: the dense ranking over all dimensions against that over half of them
+
+RELEVANT = "rel AS (SELECT q.vec_id AS qid, e.vec_id AS doc_id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 100 = 0)"
+
+
+def metrics_sql(r: str, out: str) -> str:
+    recall = ", ".join(f"round(coalesce(count(*) FILTER (rank <= {k}) / any_value(r)::DOUBLE, 0), 6) AS recall_{k}" for k in evaluation.KS)
+    return f"""{out}h AS (SELECT {r}.*, row_number() OVER (PARTITION BY qid ORDER BY rank) AS nth FROM {r} JOIN rel USING (qid, doc_id)), {out}t AS (SELECT qid, count(*) AS r FROM rel GROUP BY qid),
+ {out} AS (SELECT qid, {recall}, round(count(*) FILTER (rank <= 10) / 10.0::DOUBLE, 6) AS p_10, round(coalesce(1.0::DOUBLE / min(rank) FILTER (rank <= 10), 0), 6) AS mrr_10,
+  round(coalesce(sum(1.0::DOUBLE / log2(rank + 1.0::DOUBLE)) FILTER (rank <= 10), 0) / list_sum(list_transform(range(1, least(any_value(r), 10) + 1), lambda i: 1.0::DOUBLE / log2(i + 1.0::DOUBLE))), 6) AS ndcg_10,
+  round(coalesce(sum(nth / rank::DOUBLE), 0) / any_value(r), 6) AS map FROM {out}t LEFT JOIN {out}h USING (qid) GROUP BY qid)"""
+
+
+NAMES = [*(f"recall_{k}" for k in evaluation.KS), "p_10", "mrr_10", "ndcg_10", "map"]
+BOTH = f"{dense('a', 64, 50)}, {dense('b', 32, 50)}, {RELEVANT}, {metrics_sql('a', 'ma')}, {metrics_sql('b', 'mb')}"
+LONG = "UNPIVOT {} ON " + ", ".join(NAMES) + " INTO NAME metric VALUE value"
+
+
+def measured(spark, d, dim):
+    v, q = stored_vectors(spark, d), vector_queries(spark, d)
+    relevant = q.select("qid", "label").join(v.select("doc_id", "label"), "label").select("qid", "doc_id")
+    return evaluation.ir_metrics(vectors.dense_topk(v, q, 50, dim), relevant)
+
+
+def paired(spark, d):
+    base = evaluation.long_form(measured(spark, d, 32)).withColumnRenamed("value", "base")
+    return base.join(evaluation.long_form(measured(spark, d, 64)).withColumnRenamed("value", "cand"), ["qid", "metric"])
+
+
+@query(f"WITH {BOTH} SELECT * FROM ma")
+def ir_metrics(spark, d):
+    return measured(spark, d, 64)
+
+
+@query(f"WITH {BOTH}, l AS ({LONG.format('ma')}) SELECT metric, round(avg(value), 6) AS mean FROM l GROUP BY metric")
+def mean_metrics(spark, d):
+    return evaluation.long_form(measured(spark, d, 64)).groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"))
+
+
+PAIRED = f"""{BOTH}, la AS ({LONG.format('ma')}), lb AS ({LONG.format('mb')}), p AS (SELECT metric, qid, round(la.value - lb.value, 6) AS dd FROM la JOIN lb USING (metric, qid)),
+ lv AS (SELECT metric, dd, rank() OVER (PARTITION BY metric ORDER BY abs(dd)) + (count(*) OVER (PARTITION BY metric, abs(dd)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY metric, abs(dd)) AS ties FROM p WHERE dd <> 0),
+ sr AS (SELECT metric, count(*) AS m, coalesce(sum(rk) FILTER (dd > 0), 0) AS wp, coalesce(sum(rk) FILTER (dd < 0), 0) AS wn, sum(ties * ties - 1) AS tt FROM lv GROUP BY metric),
+ al AS (SELECT metric, count(*) AS n, round(avg(dd), 6) AS delta FROM p GROUP BY metric),
+ sg AS (SELECT metric, n::BIGINT AS n, delta, coalesce(least(wp, wn), 0)::DOUBLE AS w, coalesce(round(CASE WHEN m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - tt / 48.0::DOUBLE > 0 THEN (least(wp, wn) - m * (m + 1) / 4.0::DOUBLE) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - tt / 48.0::DOUBLE) END, 6), 0) AS z FROM al LEFT JOIN sr USING (metric))"""
+
+
+@query(f"WITH {PAIRED} SELECT * FROM sg")
+def wilcoxon_signed_rank(spark, d):
+    return evaluation.signed_rank(paired(spark, d))
+
+
+@query(f"WITH {PAIRED} SELECT metric, delta, z, CASE WHEN abs(z) > 1.959963984540054 AND delta > 0 THEN 'helps' WHEN abs(z) > 1.959963984540054 AND delta < 0 THEN 'hurts' ELSE 'no significant difference' END AS verdict FROM sg")
+def ab_verdict(spark, d):
+    return evaluation.signed_rank(paired(spark, d)).select("metric", "delta", "z", evaluation.verdict(F.col("delta"), F.col("z")).alias("verdict"))
+
+
+@query(f"""WITH {BOTH}, l AS ({LONG.format('ma')}), nb AS (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM l),
+ sz AS (SELECT DISTINCT n FROM nb), dr AS (SELECT n, b, ('0x' || substr(md5('7:' || b || ':' || j), 1, 8))::BIGINT % n AS i FROM sz, (SELECT unnest(range(0, 1000)) AS b) bb, LATERAL (SELECT unnest(range(0, n)) AS j) jj),
+ ms AS (SELECT metric, b, sum(value) / any_value(nb.n) AS m FROM nb JOIN dr ON nb.n = dr.n AND nb.i = dr.i GROUP BY metric, b)
+SELECT l.metric, round(avg(value), 6) AS mean, any_value(lo) AS lo, any_value(hi) AS hi FROM l JOIN (SELECT metric, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM ms GROUP BY metric) USING (metric) GROUP BY l.metric""")
+def bootstrap_ci(spark, d):
+    return evaluation.bootstrap(evaluation.long_form(measured(spark, d, 64)))
+
+
+@query(f"""WITH {dense('a', 64, 10)}, {dense('b', 32, 10)}, f AS (SELECT coalesce(a.qid, b.qid) AS qid, a.rank AS ra, b.rank AS rb FROM a FULL JOIN b ON a.qid = b.qid AND a.doc_id = b.doc_id),
+ s AS (SELECT qid, ra, rb FROM f WHERE ra IS NOT NULL AND rb IS NOT NULL), tau AS (SELECT x.qid, round(sum(sign((x.ra - y.ra) * (x.rb - y.rb))) / any_value(c * (c - 1))::DOUBLE, 6) AS tau FROM s x JOIN s y USING (qid) JOIN (SELECT qid, count(*) AS c FROM s GROUP BY qid) USING (qid) WHERE c > 1 GROUP BY x.qid)
+SELECT f.qid, round(count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) / count(*)::DOUBLE, 6) AS jaccard, any_value(tau) AS tau, bool_and(ra IS NOT DISTINCT FROM rb) AS same_order FROM f LEFT JOIN tau USING (qid) GROUP BY f.qid""")
+def ranking_agreement(spark, d):
+    v, q = stored_vectors(spark, d), vector_queries(spark, d)
+    return evaluation.agreement(vectors.dense_topk(v, q, 10, 64), vectors.dense_topk(v, q, 10, 32))
+
+
+@query("""WITH s AS (SELECT n_chars::DOUBLE AS score, quality = 1 AS pos FROM labels JOIN documents USING (doc_id)), r AS (SELECT pos, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS rk FROM s)
+SELECT (count(*) FILTER (pos))::BIGINT AS n_pos, (count(*) FILTER (NOT pos))::BIGINT AS n_neg, round((sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0::DOUBLE) / (count(*) FILTER (pos) * (count(*) FILTER (NOT pos))::DOUBLE), 6) AS auc FROM r""")
+def roc_auc_quality(spark, d):
+    rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return evaluation.roc_auc(rows.select(F.col("n_chars").cast("double").alias("score"), (F.col("quality") == 1).alias("is_pos")))
+
+
+# ---- graph: parts, customers, suppliers and nations, by orders
+
+NODES = """nd AS (SELECT 'technology:' || p_partkey AS node_id, 'technology' AS ntype, p_name AS label FROM part UNION ALL SELECT 'inventor:' || c_custkey, 'inventor', c_name FROM customer
+ UNION ALL SELECT 'organization:' || s_suppkey, 'organization', s_name FROM supplier UNION ALL SELECT 'facility:' || n_nationkey, 'facility', n_name FROM nation)"""
+EDGES = """ed AS (SELECT DISTINCT 'technology:' || l_partkey AS src, 'organization:' || l_suppkey AS dst, 'assigned_to' AS rel FROM lineitem
+ UNION SELECT DISTINCT 'technology:' || l_partkey, 'inventor:' || o_custkey, 'invented_by' FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ UNION SELECT 'organization:' || s_suppkey, 'facility:' || s_nationkey, 'located_at' FROM supplier)"""
+GRAPH = f"{NODES}, {EDGES}"
+
+
+def the_nodes(spark, d):
+    named = lambda name, key, label: table(spark, d, name).select(F.col(key).cast("string").alias("key"), F.col(label).alias("label"))
+    return graph.nodes({"technology": named("part", "p_partkey", "p_name"), "inventor": named("customer", "c_custkey", "c_name"), "organization": named("supplier", "s_suppkey", "s_name"), "facility": named("nation", "n_nationkey", "n_name")})
+
+
+def the_edges(spark, d):
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return graph.edges([
+        (lines.select(F.col("l_partkey").alias("s"), F.col("l_suppkey").alias("d")), "technology", "organization", "assigned_to"),
+        (lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(F.col("l_partkey").alias("s"), F.col("o_custkey").alias("d")), "technology", "inventor", "invented_by"),
+        (table(spark, d, "supplier").select(F.col("s_suppkey").alias("s"), F.col("s_nationkey").alias("d")), "organization", "facility", "located_at"),
+    ])
+
+
+@query(f"WITH {GRAPH} SELECT * FROM nd")
+def graph_nodes(spark, d):
+    return the_nodes(spark, d)
+
+
+@query(f"WITH {GRAPH} SELECT * FROM ed")
+def graph_edges(spark, d):
+    return the_edges(spark, d)
+
+
+@query(f"""WITH {GRAPH} SELECT 'node' AS kind, v AS name, (SELECT count(*) FROM nd WHERE ntype = v)::BIGINT AS n FROM (SELECT unnest({graph.NODE_TYPES}) AS v)
+ UNION ALL SELECT 'edge', v, (SELECT count(*) FROM ed WHERE rel = v)::BIGINT FROM (SELECT unnest({graph.RELATIONS}) AS v)""")
+def graph_meta(spark, d):
+    return graph.meta(the_nodes(spark, d), the_edges(spark, d))
+
+
+DEGREES = f"{GRAPH}, dg AS (SELECT node_id, count(*)::BIGINT AS degree FROM (SELECT src AS node_id FROM ed UNION ALL SELECT dst FROM ed) GROUP BY node_id)"
+
+
+@query(f"WITH {DEGREES} SELECT * FROM dg ORDER BY degree DESC, node_id LIMIT 3")
+def degree_topk(spark, d):
+    return graph.degrees(the_edges(spark, d)).orderBy(F.desc("degree"), "node_id").limit(3)
+
+
+@query(f"WITH {DEGREES} SELECT node_id FROM nd WHERE node_id NOT IN (SELECT node_id FROM dg)")
+def isolates(spark, d):
+    return graph.isolates(the_nodes(spark, d), the_edges(spark, d))
+
+
+@query()
+def connected_components(spark, d):
+    return graph.connected_components(the_nodes(spark, d), the_edges(spark, d))
+
+
+@query(f"""WITH {GRAPH}, o AS (SELECT *, row_number() OVER (ORDER BY md5('13|' || src || '|' || rel || '|' || dst), src, rel, dst) AS i, count(*) OVER () AS n FROM ed)
+SELECT src, dst, rel, CASE WHEN i <= floor(n * 0.1::DOUBLE) THEN 'test' WHEN i <= 2 * floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS part FROM o""")
+def edge_split(spark, d):
+    return graph.split_edges(the_edges(spark, d))
+
+
+def numbered(rows: DataFrame, key: str, ntype: str) -> DataFrame:
+    """Node numbers from 0; the keys of these tables are 1 to n or 0 to n - 1."""
+    low = rows.agg(F.min(key)).first()[0] or 0
+    return rows.select((F.col(key).cast("long") - low).alias("i"), F.concat(F.lit(ntype + ":"), F.col(key).cast("string")).alias("node_id"))
+
+
+NEGATIVE = f"""{GRAPH}, ps AS (SELECT DISTINCT src, dst FROM ed WHERE rel = 'assigned_to'), tr AS (SELECT src, dst, unnest(range(0, 3)) AS try FROM ps),
+ lf AS (SELECT p_partkey - (SELECT min(p_partkey) FROM part) AS i, 'technology:' || p_partkey AS node_id FROM part), rt AS (SELECT s_suppkey - (SELECT min(s_suppkey) FROM supplier) AS i, 'organization:' || s_suppkey AS node_id FROM supplier),
+ dw AS (SELECT src AS psrc, dst AS pdst, try, ('0x' || substr(md5('17|u|' || src || '|' || dst || '|' || try), 1, 8))::BIGINT % (SELECT count(*) FROM lf) AS u, ('0x' || substr(md5('17|v|' || src || '|' || dst || '|' || try), 1, 8))::BIGINT % (SELECT count(*) FROM rt) AS v FROM tr),
+ ng AS (SELECT lf.node_id AS src, rt.node_id AS dst, try FROM dw JOIN lf ON u = lf.i JOIN rt ON v = rt.i WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.src = lf.node_id AND ps.dst = rt.node_id))"""
+
+
+@query(f"WITH {NEGATIVE} SELECT src, dst, try::INT AS try FROM ng")
+def negative_samples(spark, d):
+    positive = the_edges(spark, d).filter("rel = 'assigned_to'")
+    return graph.negatives(positive, numbered(table(spark, d, "part"), "p_partkey", "technology"), numbered(table(spark, d, "supplier"), "s_suppkey", "organization"))
+
+
+FEATURES = "ft AS (SELECT node_id, dim, round(((('0x' || substr(md5(node_id || '|' || dim), 1, 6))::BIGINT % 1000) / 1000.0::DOUBLE), 3) AS value FROM nd, (SELECT unnest(range(0, 4)) AS dim) dd)"
+
+
+def features(spark, d):
+    """Four numbers a node, by hash."""
+    rows = the_nodes(spark, d).select("node_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("dim"))
+    value = F.conv(F.substring(F.md5(F.concat_ws("|", "node_id", F.col("dim").cast("string"))), 1, 6), 16, 10).cast("long") % 1000
+    return rows.withColumn("value", F.round(value / F.lit(1000.0), 3))
+
+
+@query(f"WITH {GRAPH}, {FEATURES}, m AS (SELECT src AS node_id, rel, dim, avg(value) AS m FROM ed JOIN ft ON dst = ft.node_id GROUP BY ALL) SELECT node_id, dim::INT AS dim, round(sum(m), 9) AS value FROM m GROUP BY node_id, dim")
+def relational_mean_agg(spark, d):
+    return graph.relational_mean(the_edges(spark, d), features(spark, d))
+
+
+@query()
+def relational_propagation(spark, d):
+    return graph.propagate(the_edges(spark, d), features(spark, d)).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {NEGATIVE}, {FEATURES}, e AS (SELECT node_id, list(value ORDER BY dim) AS v FROM ft GROUP BY node_id),
+ p AS (SELECT src, dst, round(list_dot_product(a.v, b.v), 6) AS score FROM ps JOIN e a ON a.node_id = src JOIN e b ON b.node_id = dst), n AS (SELECT src, round(list_dot_product(a.v, b.v), 6) AS score FROM ng JOIN e a ON a.node_id = src JOIN e b ON b.node_id = dst),
+ r AS (SELECT p.src, p.dst, count(*) FILTER (n.score > p.score) AS better FROM p LEFT JOIN n USING (src) GROUP BY p.src, p.dst)
+SELECT count(*)::BIGINT AS n, round(avg((better < 3)::INT::DOUBLE), 6) AS hits, round(avg(1.0::DOUBLE / (better + 1)), 6) AS mrr FROM r""")
+def link_prediction(spark, d):
+    own = features(spark, d).groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v"))
+    a, b = own.select(F.col("node_id").alias("src"), F.col("v").alias("x")), own.select(F.col("node_id").alias("dst"), F.col("v").alias("y"))
+    score = F.round(F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)
+    scored = lambda rows: rows.join(a, "src").join(b, "dst").withColumn("score", score)
+    positive = scored(the_edges(spark, d).filter("rel = 'assigned_to'").select("src", "dst")).select(F.concat_ws("|", "src", "dst").alias("pid"), "src", "score")
+    negative = scored(negative_samples(spark, d)).select("src", F.col("score").alias("n_score"))
+    pairs = positive.select("pid", "src").join(negative, "src").select("pid", F.col("n_score").alias("score"))
+    return graph.hits_and_mrr(positive.select("pid", "score"), pairs, 3)
+
+
+# ---- entities, records, citations, synthetic queries
+
+SURFACE = """fn AS (SELECT DISTINCT regexp_replace(regexp_replace(regexp_replace(lower(label), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS surface, node_id FROM nd WHERE ntype IN ('organization', 'inventor', 'expert', 'facility')),
+ wd AS (SELECT DISTINCT unnest(string_split(surface, ' ')) AS word, node_id FROM fn WHERE surface <> ''), al AS (SELECT word AS surface, min(node_id) AS node_id FROM wd WHERE length(word) >= 3 AND word NOT IN ({}) GROUP BY word HAVING count(DISTINCT node_id) = 1),
+ sf AS (SELECT surface, node_id FROM fn WHERE surface <> '' UNION ALL SELECT surface, node_id FROM al WHERE surface NOT IN (SELECT surface FROM fn))""".format(", ".join(f"'{w}'" for w in linking.GENERIC))
+
+
+@query(f"WITH {GRAPH}, {SURFACE} SELECT * FROM sf")
+def surface_index(spark, d):
+    return linking.surfaces(the_nodes(spark, d))
+
+
+@query()
+def entity_link(spark, d):
+    asked_ = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    queries = asked_.select(F.col("s_suppkey").alias("qid"), F.concat(F.lit("Work of "), F.col("s_name"), F.lit(" in "), F.col("n_name")).alias("query"))
+    return linking.link(queries, linking.surfaces(the_nodes(spark, d)))
+
+
+PARTS = """pt AS (SELECT doc_id, source, lang, regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '^\\s+|\\s+$', '', 'g') AS title,
+  regexp_replace(CASE WHEN instr(coalesce(text, ''), chr(10)) > 0 THEN substr(text, instr(text, chr(10)) + 1) ELSE '' END, '^\\s+|\\s+$', '', 'g') AS abstract FROM documents)"""
+
+
+def parted(spark, d):
+    """Documents as records: the first line is the title, the rest the abstract."""
+    rest = F.when(F.instr("text", "\n") > 0, F.expr("substring(text, instr(text, '\n') + 1)")).otherwise(F.lit(""))
+    return docs(spark, d).select("doc_id", "source", "lang", querygen.title_of(F.col("text")).alias("title"), t.strip(rest).alias("abstract"))
+
+
+@query(f"""WITH {PARTS} SELECT doc_id, source, title, abstract, array_to_string(list_filter([title, abstract, 'Keywords: ' || lang, 'Organizations: ' || source], lambda x: x <> ''), chr(10)) AS embedding_text FROM pt WHERE length(abstract) >= 20""")
+def normalize_docs(spark, d):
+    rows = parted(spark, d).filter(F.length("abstract") >= 20)
+    none = F.array().cast("array<string>")
+    return rows.select("doc_id", "source", "title", "abstract", normalize.embedding_text(F.col("title"), F.col("abstract"), F.array("lang"), F.array("source"), none).alias("embedding_text"))
+
+
+@query(f"WITH {PARTS} SELECT source, count(*)::BIGINT AS n, (count(*) FILTER (length(abstract) < 20))::BIGINT AS n_short FROM pt GROUP BY source")
+def source_counts(spark, d):
+    return parted(spark, d).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.length("abstract") < 20).alias("n_short"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x09-\\x0D\\x20]+'), lambda w: w <> ''), ' ') AS rebuilt FROM documents")
+def inverted_index_text(spark, d):
+    words = docs(spark, d).select("doc_id", F.posexplode_outer(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x09-\x0D\x20]+"), lambda w: w != "")).alias("pos", "word"))
+    places = words.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("places")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("word", "places")))).alias("m"))
+    return places.select("doc_id", normalize.inverted_text(F.col("m")).alias("rebuilt"))
+
+
+@query("""SELECT page_id, unnest(l) AS citation, generate_subscripts(l, 1)::INT - 1 AS place FROM (SELECT page_id, list_transform(list_filter(list_transform(x, lambda u, i: {'u': u, 'k': list_position(x, u) = i}), lambda s: s.k), lambda s: s.u) AS l
+ FROM (SELECT page_id, regexp_extract_all(concat_ws(' ', url, html), 'https?://[^\\s\\])"]+') AS x FROM pages))""")
+def extract_citations(spark, d):
+    return table(spark, d, "pages").select("page_id", F.posexplode(t.urls(F.concat_ws(" ", "url", "html"))).alias("place", "citation")).select("page_id", "citation", "place")
+
+
+STOP = ", ".join(f"'{w}'" for w in t.STOPWORDS)
+CONTENT = "list_filter(list_distinct(list_filter(regexp_extract_all(regexp_replace(lower(coalesce({0}, '')), 'https?://[^\\s\\])\"]+', ' ', 'g'), '[a-z0-9]+'), lambda t: length(t) >= 3)), lambda t: t NOT IN (" + STOP + "))"
+CLAIMS = f"""cl AS (SELECT a.conv_id, a.turn, a.role, a.text, lag(text) OVER w AS before, first_value(text) OVER w AS opening FROM conversations a WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+ cs AS (SELECT conv_id, turn, text, {CONTENT.format('text')} AS own, list_concat({CONTENT.format('before')}, {CONTENT.format('opening')}) AS ground FROM cl WHERE role = 'assistant'),
+ jd AS (SELECT conv_id || ':' || turn AS claim_id, round(CASE WHEN len(own) = 0 THEN 1 ELSE len(list_filter(own, lambda t: list_contains(ground, t))) / len(own)::DOUBLE END, 6) AS support,
+  len(list_distinct(regexp_extract_all(coalesce(text, ''), 'https?://[^\\s\\])"]+')))::INT AS bad_citations FROM cs),
+ jj AS (SELECT claim_id, support, support >= 0.5 AS grounded, bad_citations, support < 0.5 OR bad_citations > 0 AS flagged FROM jd)"""
+
+
+def claims(spark, d):
+    """What the assistant says, against the turn before (evidence) and the first turn (context); nothing is cited."""
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text", F.lag("text").over(own).alias("before"), F.first("text").over(own).alias("opening")).filter("role = 'assistant'")
+    return rows.select(F.concat_ws(":", "conv_id", "turn").alias("claim_id"), F.col("text").alias("claim"), F.lit(None).cast("string").alias("citation"), F.col("before").alias("evidence"), F.col("opening").alias("context"))
+
+
+@query(f"WITH {CLAIMS} SELECT * FROM jj")
+def lexical_support(spark, d):
+    return faithfulness.judge(claims(spark, d))
+
+
+@query(f"WITH {CLAIMS} SELECT count(*)::BIGINT AS n, round(coalesce(avg((bad_citations = 0)::INT::DOUBLE), 1), 6) AS citation_validity, round(coalesce(avg(grounded::INT::DOUBLE), 1), 6) AS groundedness, round(coalesce(avg(flagged::INT::DOUBLE), 0), 6) AS hallucination FROM jj")
+def faithfulness_rates(spark, d):
+    return faithfulness.rates(faithfulness.judge(claims(spark, d)))
+
+
+FRAME = "[" + ", ".join(f"'{f}'" for f in querygen.FRAMES) + "]"
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM documents), tk AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}')) AS w FROM documents),
+ df AS (SELECT w, count(*) AS df FROM tk, n GROUP BY w, n HAVING count(*) BETWEEN 2 AND greatest(2, floor(n * 0.3::DOUBLE))), dr AS (SELECT doc_id FROM documents ORDER BY md5('11|' || doc_id), doc_id LIMIT 200),
+ rr AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY df, w) AS r FROM tk JOIN df USING (w) JOIN dr USING (doc_id)),
+ ws AS (SELECT doc_id, string_agg(w, ' ' ORDER BY r) AS q FROM rr WHERE r <= 5 GROUP BY doc_id HAVING count(*) >= 3)
+SELECT 'q' || doc_id AS query_id, replace({FRAME}[doc_id % 5 + 1], '{{}}', q) AS query, doc_id FROM ws""")
+def synthetic_eval_set(spark, d):
+    return querygen.eval_set(docs(spark, d))
+
+
+@query()
+def query_templates(spark, d):
+    return querygen.templated(docs(spark, d).select("doc_id", querygen.title_of(F.col("text")).alias("title"), F.coalesce("text", F.lit("")).alias("text")))
