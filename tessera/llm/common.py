@@ -1,6 +1,7 @@
 """What the operators of this subpackage share."""
 from __future__ import annotations
 
+import gc
 import sys
 import types
 
@@ -37,9 +38,18 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def shared(df: DataFrame) -> DataFrame:
-    """df written to the folder that all executors share, with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df written to the folder that all executors share, with its lineage cut.
+
+    The shuffles behind it are of no more use then; Spark removes their files
+    once the driver has collected the plans that hold them, so this asks for it.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
 
 
 def worker_cache() -> dict:
