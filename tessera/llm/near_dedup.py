@@ -11,12 +11,13 @@ darts and not W * k; sets that leave a coordinate empty look twice as far.
 The elements are shingles of ``shingle`` lower-cased (A-Z) words; a text of
 fewer words is one shingle. Texts of equal words are one class by their hash
 and take part once. Texts that agree in a band of the signature are held
-against pivots of their bucket by exact Jaccard similarity of their sets of
-shingles. The first pivot of a bucket is its least text; while a bucket still
-holds texts of different classes, the next pivots (one of each class) are held
-against those of the other classes, and after ``rounds`` such rounds whatever
-differs in class is held against each other. Thus no link that a bucket shows
-is lost, and no bucket of like texts is expanded into its pairs.
+against the pivot of their bucket by exact Jaccard similarity of their sets of
+shingles; the pivot is the text that shares most in all its buckets, as what
+others were copied from does. Where a bucket then still holds texts of
+different classes, its texts are dealt in blocks and every two of different
+classes are held against each other by matrix products over their shingles.
+Thus no link that a bucket shows is lost, no bucket is expanded into its
+pairs, and buckets of like texts cost one comparison a text.
 """
 from __future__ import annotations
 
@@ -31,8 +32,6 @@ from .common import BASE, BASE2, U64, Words, documents, mix, powers, shared, tex
 from .sentencepiece_sampling import chunks
 from .substring_dedup import Sums
 
-ROUNDS = 3
-
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of each shingle."""
@@ -153,6 +152,54 @@ def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """The number of elements that each left and each right set share, by matrix products of bounded width."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    x, y = np.concatenate(left), np.concatenate(right)
+    i, j = np.repeat(np.arange(len(left)), list(map(len, left))), np.repeat(np.arange(len(right)), list(map(len, right)))
+    both = np.intersect1d(x, y)
+    for at in range(0, len(both), width):
+        part = both[at : at + width]
+        a, b = np.zeros((len(left), len(part)), dtype=np.float32), np.zeros((len(right), len(part)), dtype=np.float32)
+        for m, v, row in ((a, x, i), (b, y, j)):
+            col = np.minimum(np.searchsorted(part, v), len(part) - 1)
+            hit = part[col] == v
+            m[row[hit], col[hit]] = 1.0
+        out += a @ b.T
+    return out
+
+
+def block_links(members: DataFrame, sets: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+    """(a, b): the texts of a bucket that differ in label and are at least so similar.
+
+    members: (bucket, text_id, label, n). A bucket of n texts is dealt in
+    n / block parts, and each two parts meet in a task of their own: a text is
+    sent as often as there are parts, and no pair is ever a row unless it is a
+    link.
+    """
+    parts = members.withColumn("parts", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("part", F.pmod(F.xxhash64("text_id"), F.col("parts")).cast("int"))
+    dealt = parts.join(sets, "text_id").select("bucket", "text_id", "label", "elements", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "text_id", "label", "elements")
+
+    def run(group: pa.Table) -> pa.Table:
+        part, low, high = group.column("part").to_numpy(), group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        ids, labels = group.column("text_id").to_pylist(), group.column("label").to_pylist()
+        sets_ = [np.frombuffer(x, dtype=np.int64) for x in group.column("elements").to_pylist()]
+        one, two = np.flatnonzero(part == low).tolist(), np.flatnonzero(part == high).tolist()
+        found = []
+        if one and two and len(set(labels)) > 1:
+            both = intersections([sets_[i] for i in one], [sets_[i] for i in two])
+            size = np.array([len(x) for x in sets_], dtype=np.float64)
+            like = both >= threshold * (size[one][:, None] + size[two][None, :] - both) - 1e-9
+            for i, j in zip(*np.nonzero(like)):
+                p, q = one[i], two[j]
+                if labels[p] != labels[q]:
+                    found.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+        return pa.table({"a": pa.array([x for x, _ in found], type=pa.binary()), "b": pa.array([y for _, y in found], type=pa.binary())})
+
+    return dealt.groupBy("bucket", "low", "high").applyInArrow(run, "a binary, b binary")
+
+
 def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """(text_id, elements): the sorted distinct shingle hashes of the wanted texts."""
 
@@ -185,33 +232,25 @@ def classes(df: DataFrame, threshold: float = 0.8, bands: int = 20, size: int =
     found = shared(sketched(keyed, bands, size, shingle, weighted))
     bearer = shared(found.groupBy("text_id").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.min(F.when(F.col("doc_id") > -(2**63), F.col("doc_id"))).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")))
     banded = bearer.filter("bands IS NOT NULL").select("text_id", F.explode("bands").alias("bucket"))
-    heads = banded.groupBy("bucket").agg(F.min("text_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    buckets = shared(banded.join(heads, "bucket").select("bucket", "text_id", "head", "n"))
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = shared(banded.join(sizes, "bucket"))
+    # a text's weight: how many share its buckets; what others were copied from weighs most
+    weights = crowded.groupBy("text_id").agg(F.sum("n").alias("weight"))
+    weighed = shared(crowded.join(weights, "text_id"))
+    heads = weighed.groupBy("bucket").agg(F.max_by("text_id", F.struct("weight", "text_id")).alias("head"))
+    buckets = shared(weighed.join(heads, "bucket"))
     wanted = buckets.select("text_id").distinct().join(bearer, "text_id").select("text_id", "one.doc_id", "one.h")
     sets = shared(shingle_sets(keyed, wanted, shingle).dropDuplicates(["text_id"]))
     nodes = sets.select("text_id")
-    tried = shared(buckets.filter("text_id <> head").select(F.col("head").alias("a"), F.col("text_id").alias("b")).distinct())
+    tried = shared(buckets.filter("text_id <> head").select(F.least("head", "text_id").alias("a"), F.greatest("head", "text_id").alias("b")).distinct())
     links = shared(alike(tried, sets, threshold))
     labels = components(nodes, links)
-    pivoted = shared(buckets.select("bucket", F.col("head").alias("text_id")).distinct())
-    for turn in range(ROUNDS + 1):
-        named = buckets.filter("n > 2").join(labels, "text_id").select("bucket", "text_id", "label")
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("bucket")
-        left = shared(named.join(mixed, "bucket"))
-        fresh = left.join(pivoted, ["bucket", "text_id"], "left_anti")
-        if turn < ROUNDS:
-            fresh = fresh.groupBy("bucket", "label").agg(F.min("text_id").alias("text_id"))
-        fresh = shared(fresh.select("bucket", "text_id", "label"))
-        if fresh.isEmpty():
-            break
-        other = left.select("bucket", F.col("text_id").alias("other"), F.col("label").alias("other_label"))
-        pairs = fresh.join(other, "bucket").filter("label <> other_label").select(F.least("text_id", "other").alias("a"), F.greatest("text_id", "other").alias("b")).distinct()
-        pairs = shared(pairs.join(tried, ["a", "b"], "left_anti"))
-        more = shared(alike(pairs, sets, threshold))
-        tried, pivoted = shared(tried.union(pairs)), shared(pivoted.union(fresh.select("bucket", "text_id")))
-        if not more.isEmpty():
-            links = shared(links.union(more))
-            labels = components(nodes, links)
+    named = buckets.filter("n > 2").join(labels, "text_id").select("bucket", "text_id", "label")
+    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high").select("bucket", "n")
+    more = shared(block_links(named.join(mixed, "bucket"), sets, threshold).distinct())
+    if not more.isEmpty():
+        links = shared(links.union(more).distinct())
+        labels = components(nodes, links)
     degree = links.select(F.col("a").alias("text_id")).union(links.select("b")).groupBy("text_id").agg(F.count("*").alias("n_links"))
     told = bearer.select("text_id", "least", "n").join(labels, "text_id", "left").join(degree, "text_id", "left")
     told = shared(told.select("text_id", "least", "n", F.coalesce("label", "text_id").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
