@@ -292,6 +292,8 @@ def score(df: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK, id_col: s
     gram_value = gram_scores(grams, depth, deals)
     back = wanted.filter("gram IS NULL").select("block", "word").join(word_value, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), "value")
     back = back.unionByName(wanted.filter("gram IS NOT NULL").select("block", "gram").join(gram_value, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value"))
+    back = shared(back)
+    del wanted, grams, words, word_value, gram_value
     return scored(rows, back, depth, unseen).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 

@@ -28,7 +28,7 @@ from .common import U64, mix, texts, unit, worker_cache
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "mark " + MARK  # has a space, so no word of a text is equal to it
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 
 def load_pieces(path: str = MODEL) -> list[tuple[bytes, int]]:
@@ -238,7 +238,7 @@ def shares(vocab: Vocabulary, src, dst, piece, first, size, of) -> np.ndarray:
 class Known:
     """The lattices of the words met last by this worker, at most ``most`` of them."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self.clear()
 

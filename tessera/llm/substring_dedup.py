@@ -80,18 +80,16 @@ def long_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
                 if not len(doc):
                     continue
                 end = start + n + (length - 1)
-                # two hashes: the span with the anchor's place in it
-                place = (anchor - start).astype(U64)
-                a = mix(Sums(words.hash, BASE).of(start, end) + place)
-                b = mix(Sums(words.hash, BASE2).of(start, end) + place)
+                # with the anchor, 128 bits: the span and the anchor's place in it
+                a = mix(Sums(words.hash, BASE2).of(start, end) + (anchor - start).astype(U64))
                 at = pa.array(doc + part.start)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(grams[anchor].view(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                    [batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(grams[anchor].view(np.int64)), pa.array(a.view(np.int64)),
                      pa.array((start - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                    names=["doc_id", "h", "anchor", "a", "b", "start", "n"],
+                    names=["doc_id", "h", "anchor", "a", "start", "n"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, h long, anchor long, a long, b long, start int, n int")
+    return rows.mapInArrow(run, "doc_id long, h long, anchor long, a long, start int, n int")
 
 
 def extended(rows: DataFrame, length: int) -> DataFrame:
@@ -131,10 +129,14 @@ def repeats(df: DataFrame, length: int = 50, k: int = 10, id_col: str = "doc_id"
     """
     rows = keyed(df, id_col, text_col).filter("doc_id IS NOT NULL")
     found = shared(long_runs(rows, length, k))
-    kinds = found.groupBy("anchor", "a", "b").agg(F.min("doc_id").alias("least"), F.count("*").alias("bearers"))
+    # an anchor of one document alone seeds nothing
+    met = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
+    found = shared(found.join(met, "anchor"))
+    kinds = found.groupBy("anchor", "a").agg(F.min("doc_id").alias("least"), F.count("*").alias("bearers"))
     differ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor", F.lit(True).alias("differ"))
-    kinds = kinds.join(differ, "anchor", "left").filter("differ OR bearers > 1").select("a", "b", "least", "differ")
-    seeds = shared(found.join(kinds, ["a", "b"]).select("doc_id", "h", "start", "n", "least", "differ"))
+    kinds = kinds.join(differ, "anchor", "left").filter("differ OR bearers > 1").select("anchor", "a", "least", "differ")
+    seeds = shared(found.join(kinds, ["anchor", "a"]).select("doc_id", "h", "start", "n", "least", "differ"))
+    del found, met, kinds, differ
     copied = seeds.filter("doc_id > least").select("doc_id", "h", "start", (F.col("start") + F.col("n") + length - 1).alias("end"))
     asked = seeds.filter("doc_id = least AND differ").groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "n")).alias("asked"))
     around = shared(extended(rows.join(asked, ["doc_id", "h"]), length))
@@ -149,7 +151,7 @@ def deduplicate(df: DataFrame, length: int = 50, k: int = 10, id_col: str = "doc
     kept is the text without the words of its ranges, joined by one space;
     ranges are the maximal repeats (start, end), in words.
     """
-    ranges = repeats(df, length, k, id_col, text_col).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("ranges"))
+    ranges = shared(repeats(df, length, k, id_col, text_col).groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "end")).alias("ranges")))
     rows = keyed(df, id_col, text_col).join(ranges.hint("shuffle_hash"), ["doc_id", "h"], "left").select("doc_id", "text", "ranges")
 
     def run(batches):

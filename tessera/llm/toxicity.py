@@ -164,7 +164,7 @@ class Toxicity:
                     for w in words - seen:
                         if got := tuple(f for f in features([w], model) if f in weights):
                             telling[w] = got
-                    if len(seen) > 1_000_000:
+                    if len(seen) > 500_000:
                         seen.clear()
                     seen |= words
                     total = math.fsum(weights[f] for f in {f for w in words & telling.keys() for f in telling[w]})
