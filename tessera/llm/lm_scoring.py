@@ -289,10 +289,10 @@ def score(df: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK, id_col: s
     unseen = math.log10(0.1 / (total + 0.1 * (distinct + 1)))
     word_value = words.select("word", F.when(F.col("n") > 0, F.log10((F.col("n") + F.lit(0.1)) / F.lit(total + 0.1 * (distinct + 1)))).otherwise(F.lit(unseen)).alias("value"))
     deals = max(2, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    gram_value = gram_scores(grams, depth, deals)
-    back = wanted.filter("gram IS NULL").select("block", "word").join(word_value, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), "value")
-    back = back.unionByName(wanted.filter("gram IS NOT NULL").select("block", "gram").join(gram_value, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value"))
-    back = shared(back)
+    # one kind after the other, so that the shuffles of the first are gone before the second
+    of_words = shared(wanted.filter("gram IS NULL").select("block", "word").join(word_value, "word").select("block", "word", F.lit(None).cast("long").alias("gram"), "value"))
+    gram_value = shared(gram_scores(grams, depth, deals))
+    back = of_words.unionByName(shared(wanted.filter("gram IS NOT NULL").select("block", "gram").join(gram_value, "gram").select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")))
     del wanted, grams, words, word_value, gram_value
     return scored(rows, back, depth, unseen).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 

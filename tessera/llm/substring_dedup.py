@@ -130,7 +130,7 @@ def repeats(df: DataFrame, length: int = 50, k: int = 10, id_col: str = "doc_id"
     rows = keyed(df, id_col, text_col).filter("doc_id IS NOT NULL")
     found = shared(long_runs(rows, length, k))
     # an anchor of one document alone seeds nothing
-    met = found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
+    met = shared(found.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor"))
     found = shared(found.join(met, "anchor"))
     kinds = found.groupBy("anchor", "a").agg(F.min("doc_id").alias("least"), F.count("*").alias("bearers"))
     differ = kinds.groupBy("anchor").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("anchor", F.lit(True).alias("differ"))
