@@ -30,7 +30,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "µ": "u"}
 LONGEST = 64
 #: A character is itself, looks like a letter, repeats the one before (the second, later ones), is nothing, is a digit.
-SAME, LOOKS, TWICE, AGAIN, NOTHING, DIGIT = (math.log(p) for p in (0.9, 0.2, 0.02, 0.5, 0.2, 0.001))
+SAME, LOOKS, TWICE, AGAIN, NOTHING, DIGIT = (math.log(p) for p in (0.9, 0.2, 0.02, 0.5, 0.2, 1e-6))
 SUSPECT = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|[0-9@$!|+(€£¡µ][^\W\d_]|[^\W\d_][0-9@$!|+€]|([^\W\d_])\1\1")
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
