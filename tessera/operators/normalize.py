@@ -67,7 +67,7 @@ def uspto(df: DataFrame) -> DataFrame:
 
 def openalex(df: DataFrame) -> DataFrame:
     people = full(F.col("authorships.author.display_name"))
-    places = F.array_distinct(full(F.flatten(F.col("authorships.institutions.display_name"))))
+    places = F.array_distinct(full(F.transform(F.flatten(F.col("authorships.institutions")), lambda x: x["display_name"])))
     return record(df, "openalex", F.element_at(F.split(text("id"), "/"), -1), title=text("title"), abstract=inverted_text(F.col("abstract_inverted_index")), experts=people, organizations=places, keywords=full(F.col("concepts.display_name")), source_url=text("id"))
 
 
