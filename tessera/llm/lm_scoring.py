@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, shared, texts
-from .sentencepiece_sampling import chunks
+from .sentencepiece_sampling import CHUNK, chunks
 
 DEPTH = 4
 #: Bytes of text in a block, about.
@@ -148,39 +148,56 @@ def asked(rows: DataFrame, depth: int) -> DataFrame:
     """(block, word, gram, n): the distinct words and grams of each block's texts, and how often they are in training texts."""
     import pandas as pd
 
+    def given(block: int, count: Counter, found: list):
+        keys = list(count)
+        for i in range(0, len(keys), 1 << 16):
+            some = keys[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(some), block, dtype=np.int64)), pa.array(some, type=pa.binary()), pa.nulls(len(some), pa.int64()), pa.array([count[w] for w in some], type=pa.int64())], names=["block", "word", "gram", "n"]
+            )
+        distinct, n = gathered(found) if found else (np.empty(0, dtype=np.int64),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), block, dtype=np.int64)), pa.nulls(len(distinct), pa.binary()), pa.array(distinct), pa.array(n)], names=["block", "word", "gram", "n"])
+
     def run(batches):
-        words: dict[int, Counter] = {}
-        grams: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        for batch in batches:
-            blocks = batch.column("block").to_numpy(zero_copy_only=False)
-            kept = batch.column("held_out").to_numpy(zero_copy_only=False)
-            items = [x.encode().lower() for x in batch.column("text").to_pylist()]
-            raw = [x.encode() for x in batch.column("text").to_pylist()]
-            for block in np.unique(blocks).tolist():
-                count, found = words.setdefault(block, Counter()), grams.setdefault(block, [])
-                for i in np.flatnonzero(blocks == block).tolist():
-                    if kept[i]:
-                        for w in {*items[i].split(), END}:
-                            count[w] += 0
-                    else:
-                        count.update(items[i].split())
-                        count[END] += 1
-                for out in (False, True):
-                    picked = [raw[i] for i in np.flatnonzero((blocks == block) & (kept == out)).tolist()]
-                    for part in chunks(picked):
-                        where, distinct = pd.factorize(codes(picked[part], depth)[0])
+        # rows come block by block: one block's words and grams are held at a time
+        block, count, found = None, Counter(), []
+        waiting: dict[bool, list[bytes]] = {False: [], True: []}
+
+        def drain() -> None:
+            for out, items in waiting.items():
+                if items:
+                    for part in chunks(items):
+                        where, distinct = pd.factorize(codes(items[part], depth)[0])
                         found.append((distinct, np.zeros(len(distinct)) if out else np.bincount(where, minlength=len(distinct))))
-                        if len(found) > 8:
-                            found[:] = [gathered(found)]
-        for block, count in words.items():
-            keys = list(count)
-            for i in range(0, len(keys), 1 << 16):
-                some = keys[i : i + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), block, dtype=np.int64)), pa.array(some, type=pa.binary()), pa.nulls(len(some), pa.int64()), pa.array([count[w] for w in some], type=pa.int64())], names=["block", "word", "gram", "n"]
-                )
-            distinct, n = gathered(grams[block]) if grams[block] else (np.empty(0, dtype=np.int64),) * 2
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), block, dtype=np.int64)), pa.nulls(len(distinct), pa.binary()), pa.array(distinct), pa.array(n)], names=["block", "word", "gram", "n"])
+                    if len(found) > 8:
+                        found[:] = [gathered(found)]
+                    items.clear()
+
+        size = 0
+        for batch in batches:
+            held = batch.column("held_out").to_pylist()
+            for at, (own, text) in enumerate(zip(batch.column("block").to_pylist(), batch.column("text"))):
+                if own != block:
+                    if block is not None:
+                        drain()
+                        yield from given(block, count, found)
+                    block, count = own, Counter()
+                    found.clear()
+                raw = text.as_py().encode()
+                if held[at]:
+                    for w in {*raw.lower().split(), END}:
+                        count[w] += 0
+                else:
+                    count.update(raw.lower().split())
+                    count[END] += 1
+                waiting[held[at]].append(raw)
+                size += len(raw)
+                if size >= CHUNK:
+                    drain()
+                    size = 0
+        if block is not None:
+            drain()
+            yield from given(block, count, found)
 
     return rows.mapInArrow(run, "block long, word binary, gram long, n long")
 
@@ -281,7 +298,7 @@ def score(df: DataFrame, depth: int = DEPTH, block_bytes: int = BLOCK, id_col: s
     blocks = max(1, math.ceil((size + 64 * n) / block_bytes))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).withColumn("held_out", held_out(mod, rest))
     rows = rows.repartition(blocks, "block")
-    wanted = shared(asked(rows, depth))
+    wanted = shared(asked(rows.sortWithinPartitions("block"), depth))
     grams = shared(wanted.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n")))
     words = wanted.filter("gram IS NULL").groupBy("word").agg(F.sum("n").alias("n"))
     words = shared(words)
