@@ -37,6 +37,8 @@ DEPTH = 4
 #: Bytes of text in a block, about.
 BLOCK = 24 << 20
 TOP = 2
+#: Grams of a deal whose nodes are held at a time, about.
+RUN = 1 << 18
 #: The end of a text, as a token that no text holds.
 END = b" "
 
@@ -212,21 +214,35 @@ def in_deals(counted: DataFrame, depth: int, deals: int, run, schema: str) -> Da
     return counted.repartition(deals, F.expr(f"shiftright(gram, {8 * (depth - TOP) + 8})")).mapInArrow(run, schema)
 
 
-def whole(batches) -> tuple[np.ndarray, np.ndarray]:
+def by_context(batches, depth: int):
+    """(grams, counts) of a deal in runs of about RUN grams; the grams with the same two last context bytes are in one run.
+
+    A gram and its count take 16 bytes, the nodes above it some hundreds: only the latter are held for a run at a time.
+    """
     got = [(b.column("gram").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)) for b in batches]
-    none = np.empty(0, dtype=np.int64)
-    return (np.concatenate([g for g, _ in got]), np.concatenate([n for _, n in got])) if got else (none, none)
+    if not got:
+        return
+    grams, n = np.concatenate([g for g, _ in got]), np.concatenate([n for _, n in got])
+    del got
+    order = np.argsort(grams)
+    grams, n = grams[order], n[order]
+    del order
+    context = grams >> (8 * (depth - TOP) + 8)
+    at = 0
+    while at < len(grams):
+        stop = int(np.searchsorted(context, context[min(at + RUN, len(grams)) - 1], side="right"))
+        yield grams[at:stop], n[at:stop]
+        at = stop
 
 
 def gram_scores(counted: DataFrame, depth: int, deals: int) -> DataFrame:
     """(gram, value): log10 of the frozen model's probability of the gram's last byte."""
 
     def upper(batches):
-        grams, n = whole(batches)
-        if len(grams):
+        for grams, n in by_context(batches, depth):
             seen = n > 0
-            level = levels(grams[seen], n[seen], depth, TOP)[0] if seen.any() else None
-            if level is not None:
+            if seen.any():
+                level = levels(grams[seen], n[seen], depth, TOP)[0]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (level.node, level.zeros, level.ones, level.weighted)], names=["node", "zeros", "ones", "weighted"])
 
     top = in_deals(counted, depth, deals, upper, "node long, zeros double, ones double, weighted double").toArrow()
@@ -244,10 +260,9 @@ def gram_scores(counted: DataFrame, depth: int, deals: int) -> DataFrame:
     sent = counted.sparkSession.sparkContext.broadcast(trees)
 
     def score(batches):
-        grams, n = whole(batches)
-        if len(grams):
+        none = np.empty(0)
+        for grams, n in by_context(batches, depth):
             seen = n > 0
-            none = np.empty(0)
             own = [(x.node, x.zeros, x.ones, x.own) for x in levels(grams[seen], n[seen], depth, TOP)] if seen.any() else [(none.astype(np.int64), none, none, none)] * (depth - TOP + 1)
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(mixture(grams, [*sent.value, *own], depth))], names=["gram", "value"])
 
