@@ -1,7 +1,9 @@
 """The training-data operators against brute force, and on awkward input."""
 import collections
+import math
 import os
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -88,7 +90,63 @@ def test_context_tree_sums_to_one():
     assert abs((10 ** lm_scoring.mixture(every, trees, 4)).sum() - 1) < 1e-9
 
 
-def test_near_classes_against_brute_force(spark, texts):
+def tree_scores(texts, held, depth):
+    """log10 probability of each text: context-tree weighting with a dictionary of nodes, by its recursive definition."""
+    count = collections.defaultdict(lambda: [0, 0])
+    children = collections.defaultdict(set)
+
+    def decisions(text):
+        padded = bytes(depth) + text
+        for i, byte in enumerate(text):
+            for k in range(8):
+                yield padded[i : i + depth], (k, byte >> (8 - k)), byte >> (7 - k) & 1
+
+    for i, text in texts.items():
+        if not held[i]:
+            for context, prefix, bit in decisions(text):
+                for d in range(depth + 1):
+                    count[context[depth - d :], prefix][bit] += 1
+                    if d:
+                        children[context[depth - d + 1 :], prefix].add((context[depth - d :], prefix))
+    kt, weighted = {}, {}
+    for node in sorted(count, key=lambda x: -len(x[0])):
+        z, o = count[node]
+        kt[node] = math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1)
+        weighted[node] = kt[node] if len(node[0]) == depth else np.logaddexp(kt[node], sum(weighted[c] for c in children[node])) - math.log(2)
+
+    def chance(context, prefix, bit, d=0):
+        node = context[depth - d :], prefix
+        if node not in count:
+            return 0.5
+        own = (count[node][bit] + 0.5) / (sum(count[node]) + 1)
+        if d == depth:
+            return own
+        share = math.exp(kt[node] - math.log(2) - weighted[node])
+        return share * own + (1 - share) * chance(context, prefix, bit, d + 1)
+
+    return {i: math.fsum(math.log10(chance(*x)) for x in decisions(text)) for i, text in texts.items()}
+
+
+def test_language_model_against_brute_force(spark, texts, tmp_path, monkeypatch):
+    some = {i: x[:400] for i, x in sorted(texts.items())[:40]} | {1001: "", 1002: None, 1003: "A a\x0bB \u00e9\u2003x unseen-zq", 1004: "same same", 1005: "same same"}
+    spark.createDataFrame(list(some.items()), "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(lm_scoring, "RUN", 500)  # several runs a deal
+    got = {r["doc_id"]: r for r in registry.QUERIES["op3_lm_scoring"](spark, str(tmp_path)).collect()}
+    raw = {i: (x or "").encode() for i, x in some.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in some}
+    assert any(held.values()) and got.keys() == some.keys()
+    tokens = {i: re.findall(rb"[^\x20\x09-\x0D]+", x.lower()) + [None] for i, x in raw.items()}
+    c = collections.Counter(t for i in some if not held[i] for t in tokens[i])
+    total = sum(c.values())
+    score = tree_scores(raw, held, lm_scoring.DEPTH)
+    for i, r in got.items():
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(tokens[i]), sum(c[t] > 0 for t in tokens[i]), total)
+        assert r["base_score"] == pytest.approx(math.fsum(math.log10((c[t] + 0.1) / (total + 0.1 * (len(c) + 1))) for t in tokens[i]), abs=1e-9)
+        assert r["score"] == pytest.approx(score[i], rel=1e-9, abs=1e-9)
+
+
+def near_classes(texts):
+    """The least id of each text's class, by all pairs that share a shingle."""
     sets = {}
     for i, x in texts.items():
         w = x.encode().lower().split()
@@ -109,8 +167,12 @@ def test_near_classes_against_brute_force(spark, texts):
             if n / (len(s) + len(sets[j]) - n) >= 0.8:
                 a, b = sorted((root(i), root(j)))
                 above[b] = a
+    return {i: root(i) for i in sets}
+
+
+def test_near_classes_against_brute_force(spark, texts):
     got = {r["doc_id"]: r["class_id"] for r in registry.QUERIES["op4_near_dedup"](spark, SF).collect()}
-    assert got == {i: root(i) for i in sets}
+    assert got == near_classes(texts)
 
 
 def test_mixed_buckets_are_held_against_each_other(spark):
@@ -173,6 +235,34 @@ def test_license_rules_and_suppression(spark):
     assert len(got[1]["detections"]) == 1 and got[4]["score"] == 0.0
 
 
+def test_license_scan_against_brute_force(spark, texts, tmp_path):
+    tricky = {
+        900: None, 901: "", 902: "MIT  License, mit-license; mit\nlicense. limit license mit licenses", 903: "GNU GENERAL PUBLIC LICENSE v3 and Apache License, Version 2.0",
+        904: "SPDX-License-Identifier: GPL-3.0-or-later\nlicense = 'MIT'", 905: "GNU Lesser General Public License v2.1 \u00e9mit license", 906: "\U0001f600 released under the MIT license. general public license " * 40,
+        907: "Permission is hereby granted, free of charge, to any person obtaining a copy. Copyright (c) 2020 all rights reserved",
+    }
+    rows = {**texts, **tricky}
+    spark.createDataFrame(list(rows.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in registry.QUERIES["op2_license_scan"](spark, str(tmp_path)).collect()}
+    phrases = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
+    rules = [(priority, re.compile(pattern.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"), re.A), label, certainty) for priority, _, pattern, label, certainty in signatures()]
+    assert got.keys() == rows.keys()
+    for i, text in rows.items():
+        text = text or ""
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        places = [(at, label) for label, p in phrases.items() for at in range(len(words)) if words[at : at + len(p)] == p]
+        kept = []
+        for start, back, priority, label, certainty in sorted((m.start(), -m.end(), priority, label, certainty) for priority, p, label, certainty in rules for m in p.finditer(text)):
+            if not kept or start >= -kept[-1][1]:
+                kept.append((start, back, priority, label, certainty))
+            elif back < kept[-1][1] and priority < kept[-1][2]:
+                kept[-1] = (start, back, priority, label, certainty)
+        base = {label for _, label in places}
+        at = [a for a, _ in places]
+        want = (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | {k[3] for k in kept})), max([k[4] for k in kept] + [0.8 * bool(base)]))
+        assert tuple(got[i][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) == want, (i, text[:200])
+
+
 def test_removed_words_are_the_repeats(spark):
     a, b = [f"a{i}" for i in range(120)], [f"b{i}" for i in range(80)]
     rows = [(1, " ".join(a)), (2, " ".join(b + a[10:75] + b)), (3, " ".join(b[:40] + a[100:]))]
@@ -194,3 +284,49 @@ def test_pipeline(spark):
     assert not left.filter("text LIKE '%@example.org%'").count()
     final = corpus_pipeline.run(spark, SF)
     assert final.filter("NOT lossless").count() == 0 and final.count() > 0
+
+
+def test_pipeline_against_brute_force(spark, con, texts, tmp_path):
+    import corpus_pipeline
+
+    items = con.execute("SELECT item_id, text FROM benchmark").fetchall()
+    long_item = max((x for _, x in items), key=lambda x: len(x.split()))
+    prose = [f"plain{i}" for i in range(100)]
+    planted = {901: " ".join(prose), 902: " ".join(prose), 903: " ".join([*prose[:-1], "other"]), 904: "before " + long_item + " after", 905: "write to some.one@example.org or 10.0.0.1 about these quiet gardens today", 906: None, 907: ""}
+    columns = spark.read.parquet(f"{SF}/documents.parquet").columns
+    more = spark.createDataFrame([(i, x, "en", "planted", len(x) if x is not None else None) for i, x in planted.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.read.parquet(f"{SF}/documents.parquet").unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        os.symlink(f"{SF}/{name}.parquet", tmp_path / f"{name}.parquet")
+    final = corpus_pipeline.run(spark, str(tmp_path))
+    got = {r["doc_id"]: r["text"] for r in sentencepiece_sampling.decode(final).collect()}
+
+    rows = {**texts, **{i: x or "" for i, x in planted.items()}}
+    scores = {r["doc_id"]: r["score"] for r in registry.QUERIES["op10_toxicity"](spark, str(tmp_path)).collect()}
+    left = {i: x for i, x in rows.items() if scores[i] < 0.3}
+    classes = near_classes(left)
+    left = {i: x for i, x in left.items() if classes[i] == i}
+
+    def words(x):
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+
+    windows = {tuple(w[s : s + 13]) for _, x in items if (w := words(x)) for s in range(max(1, len(w) - 12))}
+    sizes = {len(g) for g in windows}
+
+    def contaminated(x):
+        w = words(x)
+        hit = {p for n in sizes for s in range(len(w) - n + 1) if tuple(w[s : s + n]) in windows for p in range(s, s + n)}
+        return bool(hit) and 20 * len(hit) >= len(w)
+
+    clean = {i: x for i, x in left.items() if not contaminated(x)}
+    assert set(got) == set(clean)
+    assert 901 in clean and not {902, 903, 904} & set(clean) and len(clean) < len(left) < len(rows)
+    spans = {r["doc_id"]: r["spans"] for r in pii.detect(spark.createDataFrame(list(clean.items()), "doc_id long, text string")).collect()}
+    for i, x in clean.items():
+        at, out = 0, ""
+        for s in sorted(spans[i], key=lambda s: (s["start"], -s["end"])):
+            out += x[at : s["start"]] + f"[{pii.KIND_NAMES[s['kind']].upper()}]" if s["start"] >= at else ""
+            at = max(at, s["end"])
+        assert got[i] == out + x[at:], i
+    assert "some.one@" not in got[905] and "[EMAIL]" in got[905]
+    assert columns == more.columns
