@@ -79,7 +79,7 @@ FAMILIES = [
 ]
 #: Other signatures: label, keyword, pattern, certainty.
 EXTRA = [
-    ("public-domain", "public domain", r"(?:released|placed|dedicated)" + S + r"(?:in|into|to)" + S + r"the" + S + r"public" + S + r"domain", 0.8),
+    ("public-domain", "domain", r"(?:released|placed|dedicated)" + S + r"(?:in|into|to)" + S + r"the" + S + r"public" + S + r"domain", 0.8),
     ("proprietary", "all rights reserved", r"all rights reserved", 0.5),
     ("copyright", "copyright", r"copyright\s{0,3}(?:\(c\)|©)?\s{0,3}(?:19|20)[0-9]{2}", 0.4),
     ("mit", "permission is hereby granted", r"permission is hereby granted, free of charge, to any person obtaining a copy", 1.0),

@@ -12,16 +12,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, texts
-from .license_rules import signatures
+from .license_rules import S, signatures
 from .native import ALNUM, GAP, let
 
 #: Fixed by the contract: phrases and labels.
 PHRASES = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
-#: Every rule's match has one of these, in lower case.
-STEMS = ("licen", "spdx", "copyright", "rights reserved", "released under", "distributed under", "available under", "provided under", "creativecommons", "cc by", "cc-by", "cc0", "creative commons",
-         "attribution", "gnu.org", "mozilla.org", "opensource.org", "apache.org", "opendatacommons", "public domain", "permission", "redistribution", "free software", "unencumbered", "source code form", "as is",
-         "wtfpl.net", "boost.org", "eclipse.org", "python.org", "php.net", "openssl.org", "sil.org", "europa.eu", "cecill.info", "postgresql.org", "w3.org", "mongodb.com", "mariadb.com", "elastic.co", "firstdonoharm",
-         "json.org", "llama.meta.com", "coscl.org")
+#: Every rule's match has one of these, in lower case. None has a space where a pattern lets other things stand.
+STEMS = ("licen", "spdx", "copyright", "all rights reserved", "creativecommons", "cc0", "attribution", "gnu.org", "mozilla.org", "opensource.org", "apache.org", "opendatacommons", "permission is hereby granted", "permission to use",
+         "redistribution and use", "free software", "unencumbered", "source code form", "wtfpl.net", "boost.org", "eclipse.org", "python.org", "php.net", "openssl.org", "sil.org", "europa.eu", "cecill.info", "postgresql.org", "w3.org",
+         "mongodb.com", "mariadb.com", "elastic.co", "firstdonoharm", "json.org", "llama.meta.com", "coscl.org")
+#: Or it holds a word and a match of the pattern: words that may stand on two lines or have marks between them.
+SPLIT_STEMS = (("under", r"(?:released|distributed|available|provided)\s{1,3}under"), ("commons", f"creative{S}commons"), ("cc", f"cc{S}by"), ("domain", f"public{S}domain"))
 
 
 def phrase(words: tuple[str, ...]) -> str:
@@ -99,6 +100,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     stem = F.lit(False)
     for s in STEMS:
         stem = stem | F.contains("low", F.lit(s))
+    for s, pattern in SPLIT_STEMS:
+        stem = stem | (F.contains("low", F.lit(s)) & F.col("low").rlike(pattern))
     rows = rows.withColumn("low", low).select("doc_id", "text", F.when(stem, F.col("low")).alias("low"), words_in(F.col("text")).alias("n_words"))
     found = let(rules(), lambda all_: F.flatten(F.filter(F.transform(F.filter(all_, lambda r: F.contains(F.col("low"), r["keyword"])), lambda r: intervals(F.col("text"), r)), lambda x: x.isNotNull())))
     rows = rows.select("doc_id", "n_words", F.when(F.contains("low", F.lit("license")), base(F.col("text"))).alias("base"), F.when(F.col("low").isNotNull(), resolved(found)).alias("found"))

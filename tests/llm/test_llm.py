@@ -263,6 +263,21 @@ def test_license_scan_against_brute_force(spark, texts, tmp_path):
         assert tuple(got[i][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")) == want, (i, text[:200])
 
 
+def test_license_gates_pass_wrapped_and_marked_lines(spark):
+    cases = {
+        "released\nunder the GPL, version 2.": "gpl", "Distributed under  the terms of the MPL": "mpl", "distributed  under\n the terms\nof the MPL": "mpl", "Creative\nCommons Zero 1.0": "cc0", "CC/BY 4.0": "cc-by",
+        "made available\n\nunder the EPL": "epl", " * provided\n  under the zlib": "zlib", "placed in the public\ndomain": "public-domain", "# dedicated to the\n# public\n# domain": "public-domain",
+        "cc by\n * nc 4.0": "cc-by-nc", "Creative  Commons  Attribution 3.0": "cc-by", "released \n under the\nterms of the LGPL": "lgpl",
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(rows).collect()}
+    rules = [(re.compile(pattern.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"), re.A), word, label) for _, word, pattern, label, _ in signatures()]
+    for i, (text, label) in enumerate(cases.items()):
+        assert label in {found for p, _, found in rules if p.search(text)}, text
+        assert all(word in text.lower() for p, word, _ in rules if p.search(text)), text
+        assert label in got[i]["labels"].split(",") and got[i]["score"] > 0, text
+
+
 def test_removed_words_are_the_repeats(spark):
     a, b = [f"a{i}" for i in range(120)], [f"b{i}" for i in range(80)]
     rows = [(1, " ".join(a)), (2, " ".join(b + a[10:75] + b)), (3, " ".join(b[:40] + a[100:]))]
