@@ -7,7 +7,7 @@ Expectation-maximisation over the counts of vote patterns of the whole corpus
 estimates how reliable each labeler is for each kind and how probable each
 candidate is; a logistic regression over the candidates' features is trained on
 these probabilities and makes the final decision. Base spans always stay; the
-classifier adds further ones.
+classifier adds further ones, the more probable of two that overlap.
 
 The counts are of patterns (at most ``KINDS * 3**LABELERS * 2**FEATURES``), so
 what the driver sees has a bound that no corpus moves.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -89,13 +90,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, bool]]:
-    """(start, kind, end, base): base spans, and what else may be personal data."""
+    """(start, kind, end, base): base spans, and what else may be personal data.
+
+    Only base spans keep a candidate away, and a card not the IBAN whose digits
+    it is; the other candidates may overlap until the classifier has spoken.
+    """
     base = base_spans(text)
-    out = [(s, k, e, True) for s, k, e in base]
+    out = {(s, k, e): True for s, k, e in base}
 
     def add(k: int, s: int, e: int) -> None:
-        if not any(x < e and s < y and (kind == k or kind < 4) for x, kind, y, _ in out):
-            out.append((s, k, e, False))
+        if not any(x < e and s < y and not (k == 6 and kind == 2 and s <= x and y <= e) for x, kind, y in base):
+            out.setdefault((s, k, e), False)
 
     if any(c in text for c in "0123456789"):
         for m in CARD.finditer(text):
@@ -110,7 +115,7 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     if "=" in text or ":" in text:
         for m in SECRET.finditer(text):
             add(4, m.start(2), m.end(2))
-    return sorted(out)
+    return sorted((*span, is_base) for span, is_base in out.items())
 
 
 def judged(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
@@ -146,6 +151,7 @@ def judged(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
 
 SPANS = "array<struct<start:int,kind:int,end:int,base:boolean,votes:int,flags:int>>"
 ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.int32()), ("flags", pa.int32())]))
+ARROW_RESULT = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
 
 def found(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -202,11 +208,24 @@ def learnt(patterns: list) -> tuple[dict[tuple[int, int], float], dict[str, np.n
     return accepted, reliable
 
 
+def resolved(spans: list[dict], accepted: dict[tuple[int, int], float], threshold: float) -> list[dict]:
+    """The base spans, and of the accepted others those that overlap no more probable, or else longer, one that stays."""
+    ranked = sorted((-accepted[s["kind"], s["flags"]], s["start"] - s["end"], s["start"], s["kind"], s["end"]) for s in spans if not s["base"] and accepted.get((s["kind"], s["flags"]), -1.0) >= threshold)
+    out = [(s["start"], s["kind"], s["end"], True) for s in spans if s["base"]]
+    taken: list[tuple[int, int]] = []  # apart, by start
+    for _, _, start, kind, end in ranked:
+        i = bisect_left(taken, (end,))
+        if not i or taken[i - 1][1] <= start:
+            taken.insert(i, (start, end))
+            out.append((start, kind, end, False))
+    return [dict(zip(("start", "kind", "end", "base"), s)) for s in sorted(out)]
+
+
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
     """(doc_id, spans) of every row, or with ``keep`` these columns and spans.
 
     spans is an array of (start, kind, end, base), by start and then kind: code
-    points, end exclusive. An empty or null text has no spans. Equal rows get
+    points, end exclusive; further spans never overlap each other. An empty or null text has no spans. Equal rows get
     equal spans.
     """
     if keep is None:
@@ -214,9 +233,15 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     rows = shared(found(df, text_col, keep))
     patterns = rows.select(F.explode("__spans").alias("s")).groupBy("s.kind", "s.votes", "s.flags").agg(F.count("*").alias("n")).collect()
     accepted, _ = learnt(patterns)
-    good = sorted(k * 64 + f for (k, f), p in accepted.items() if p >= threshold)
-    chosen = F.filter("__spans", lambda s: s["base"] | (s["kind"] * 64 + s["flags"]).isin(good or [-1]))
-    return rows.select(*(quoted(c) for c in keep), F.transform(F.array_sort(chosen), lambda s: F.struct(s["start"], s["kind"], s["end"], s["base"])).alias("spans"))
+
+    def run(batches):
+        for batch in batches:
+            lists = [resolved(row, accepted, threshold) for row in batch.column("__spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lists, type=ARROW_RESULT)], names=[*batch.schema.names[:-1], "spans"])
+
+    own = rows.select(*(quoted(c) for c in keep), "__spans")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
+    return own.mapInArrow(run, f"{schema}, spans array<struct<start:int,kind:int,end:int,base:boolean>>")
 
 
 def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:

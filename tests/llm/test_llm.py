@@ -209,6 +209,32 @@ def test_personal_data_against_patterns(spark, texts):
     assert any(s["kind"] == 4 for r in got if r["doc_id"] == 901 for s in r["spans"])
 
 
+def test_personal_data_candidates_may_overlap():
+    cases = {
+        "BE68 5390 0754 7034": (6, 19), "AT61 1904 3002 3457 3201": (6, 24), "FI21 1234 5600 0007 85": (6, 22), "CH93 0076 2011 6238 5295 7": (6, 26), "NO93 8601 1117 947": (6, 18),
+        "555-123-4567 2021": (3, 12), "123-45-6789 20210501": (5, 11),
+    }
+    for text, (kind, end) in cases.items():
+        got = pii.candidates(f"x {text} y")
+        assert (2, kind, 2 + end, False) in got, text
+    spans = [dict(zip(("start", "kind", "end", "base", "flags"), x)) for x in ((0, 2, 19, False, 1), (0, 5, 11, False, 2), (12, 3, 19, False, 3), (30, 2, 46, True, 0), (28, 6, 46, False, 4), (50, 4, 60, False, 5))]
+
+    def kept(**p):
+        return [(s["start"], s["kind"]) for s in pii.resolved(spans, {(2, 1): p["card"], (5, 2): 0.9, (3, 3): 0.6, (6, 4): 0.8, (4, 5): 0.1}, 0.5)]
+
+    assert kept(card=0.2) == kept(card=0.7) == [(0, 5), (12, 3), (28, 6), (30, 2)] and kept(card=0.95) == [(0, 2), (28, 6), (30, 2)]
+
+
+def test_short_ibans_are_detected_and_redacted(spark):
+    ibans = ["BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "FI21 1234 5600 0007 85", "NO93 8601 1117 947"]
+    rows = [(i, f"transfer to iban {ibans[i % 4]} please") for i in range(40)] + [(40 + i, f"the part number 1234 5678 9012 3{i % 7}45 of stock") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.detect(df).collect()}
+    for i in range(40):
+        assert (17, 6, 17 + len(ibans[i % 4])) in {(s["start"], s["kind"], s["end"]) for s in got[i]}, rows[i]
+    assert {r["text"] for r in pii.redact(df).filter("doc_id < 40").collect()} == {"transfer to iban [IBAN] please"}
+
+
 def test_learned_scores_hold_out(spark):
     small = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{small}/labels.parquet").toPandas().set_index("doc_id")
