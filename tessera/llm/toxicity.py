@@ -3,7 +3,8 @@
 A word that may be disguised (digits or signs among letters, letters
 repeated, signs between letters, letters spaced apart) becomes a lattice: each
 character may stand for itself, for a letter that it imitates, for a
-repetition of the letter before it, or for nothing. Viterbi decoding finds the
+repetition of the letter before it, or for nothing, and a sign or space between
+letters also for the end of a word. Viterbi decoding finds the
 most probable letters under a character trigram model, whose counts come from
 all texts. A text's features are the words, and the beginnings of words, of
 what it says and of what it was restored to; a sparse logistic regression over
@@ -16,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,12 @@ from .fitting import held_out, labelled, lasso_logistic
 FIT_ROWS, FEATURES = 20_000, 1_000
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "µ": "u"}
-LONGEST = 64
 #: A character is itself, looks like a letter, repeats the one before (the second, later ones), is nothing, is a digit.
 SAME, LOOKS, TWICE, AGAIN, NOTHING, DIGIT = (math.log(p) for p in (0.9, 0.2, 0.02, 0.5, 0.2, 1e-6))
 SUSPECT = re.compile(r"[^\W\d_][\W\d_]+[^\W\d_]|[0-9@$!|+(€£¡µ][^\W\d_]|[^\W\d_][0-9@$!|+€]|([^\W\d_])\1\1")
+#: What may stand for the space between two words, and how much less probable than the best a division may be.
+SIGNS = re.compile(r"(?:[^\w@$!|+(€£¡µ]|_)+")
+MARGIN = 8.0
 EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -69,10 +73,10 @@ def trigram_model(counts: np.ndarray) -> np.ndarray:
 
 def restore(word: str, model: list) -> str:
     """The most probable letters behind a word of lower-case characters."""
-    best = {(0, 0): (0.0, "")}  # by the last two letters' classes
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # by the last two letters' classes; what was read as (what came before, character)
     last, before = "", ""
     for ch in word:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         options = [(ch, SAME)] if ch.isalpha() else [(c, LOOKS) for c in LEET.get(ch, "")]
         if ch.isdigit():
             options.append((ch, DIGIT))
@@ -82,45 +86,101 @@ def restore(word: str, model: list) -> str:
                 k = ord(c) - 96 if "a" <= c <= "z" else 0
                 q = p + cost + model[a][b][k]
                 if q > new.get((b, k), (-math.inf,))[0]:
-                    new[b, k] = (q, out + c)
+                    new[b, k] = (q, (out, c))
             skip = nothing
-            if skip is None and options and options[0][1] == LOOKS and out and out[-1] in LEET.get(ch, ""):
+            if skip is None and options and options[0][1] == LOOKS and out and out[1] in LEET.get(ch, ""):
                 skip = TWICE
             if skip is not None and p + skip > new.get((a, b), (-math.inf,))[0]:
                 new[a, b] = (p + skip, out)
         best = new or best
         last, before = ch, last
-    return max((p + model[a][b][0], out) for (a, b), (p, out) in best.items())[1]
+
+    def spelled(out: tuple | None) -> str:
+        letters = []
+        while out:
+            out, c = out
+            letters.append(c)
+        return "".join(reversed(letters))
+
+    ends = [(p + model[a][b][0], out) for (a, b), (p, out) in best.items()]
+    top = max(p for p, _ in ends)
+    return max(spelled(out) for p, out in ends if p == top)
 
 
 def readings(word: str, model: list) -> list[str]:
-    """A word without signs at its ends, and what it may be restored to."""
+    """A word without signs at its ends, and what it may be restored to; letters spaced apart come as one word with spaces."""
+    word = word.replace(" ", "")
     core = EDGES.sub("", word)
     out = [core] if core else []
     whole = word[0] + core if word[0] in LEET and not word[0].isdigit() else core
-    if len(whole) > 2 and len(whole) <= LONGEST and SUSPECT.search(whole):
+    if len(whole) > 2 and SUSPECT.search(whole):
         out.append(restore(whole, model))
     return out
 
 
+def divided(letters: str, model: list) -> list[str]:
+    """The words of every division of letters that is at most MARGIN less probable than the best one."""
+    n, k = len(letters), [ord(c) - 96 if "a" <= c <= "z" else 0 for c in letters]
+    rest, inside, first = ([0.0] * (n + 1) for _ in range(3))  # best of letters[i:] after letters[i - 1] and a space, two letters, a space and a letter
+    for i in range(n, 0, -1):
+        if i < n:
+            rest[i] = model[k[i - 1]][0][k[i]] + first[i + 1]
+        for table, a in (inside, k[i - 2]), (first, 0):
+            end = model[a][k[i - 1]][0] + rest[i]
+            table[i] = max(end, model[a][k[i - 1]][k[i]] + inside[i + 1]) if i < n else end
+    best = model[0][0][k[0]] + first[1]
+    so_far = [0.0] + [-math.inf] * n  # best of letters[:i] and a space
+    out = []
+    for i in range(n):
+        p, a, b = so_far[i], k[i - 1] if i else 0, 0
+        if p == -math.inf:
+            continue
+        for j in range(i + 1, n + 1):
+            p += model[a][b][k[j - 1]]
+            a, b = b, k[j - 1]
+            end = p + model[a][b][0]
+            if end + rest[j] >= best - MARGIN:
+                so_far[j] = max(so_far[j], end)
+                out.append(letters[i:j])
+            if j < n and p + max(model[a][b][0] + rest[j], model[a][b][k[j]] + inside[j + 1]) < best - MARGIN:
+                break
+    return out
+
+
+def parts(word: str, model: list) -> list[str]:
+    """The words that a word may hold between its signs, if there are some; of single letters, the words of their divisions."""
+    chunks = [c for c in SIGNS.split(word) if c]
+    out = []
+    for single, group in groupby(chunks, key=lambda c: len(c) == 1) if len(chunks) > 1 else ():
+        said = [r for c in (["".join(group)] if single else group) for r in readings(c, model)[-1:] if r]
+        out += [w for r in said for w in divided(r, model)] if single else said
+    return out
+
+
 def features(words: list[str], model: list) -> set[str]:
     out = set()
     for word in words:
-        for read in readings(word, model):
+        for read in readings(word, model) + parts(word, model):
             out.add(read + "$")
             out.update(read[:k] for k in (4, 5, 6) if len(read) > k)
     return out
 
 
+def runs(words: list[str]) -> list[list[str]]:
+    """Runs of three and more words of one character."""
+    short = "".join(["x" if len(w) == 1 else " " for w in words])
+    return [words[m.start() : m.end()] for m in re.finditer("xxx+", short)] if "xxx" in short else []
+
+
 def spaced(words: list[str]) -> list[str]:
     """What runs of three and more words of one character spell."""
-    short = "".join(["x" if len(w) == 1 else " " for w in words])
-    return ["".join(words[m.start() : m.end()]) for m in re.finditer("xxx+", short)] if "xxx" in short else []
+    return ["".join(run) for run in runs(words)]
 
 
 def all_words(text: str) -> list[str]:
+    """The words, and each run of words of one character as a word with spaces."""
     words = text.lower().split()
-    return words + spaced(words)
+    return words + [" ".join(run) for run in runs(words)]
 
 
 def shipped(model: np.ndarray) -> bytes:

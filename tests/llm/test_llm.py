@@ -253,6 +253,35 @@ def test_disguised_words_are_restored(spark, texts):
     assert toxicity.spaced("you i d i o t there".split()) == ["idiot"]
 
 
+def test_spaced_and_long_words_are_decoded(spark, texts):
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model = toxicity.trigram_model(toxicity.lm_counts(rows))
+    letters = model.tolist()
+    long = "there is nothing more that we could say about this to you and you are an idiot"
+    said = ["a i d i o t", "y o u i d i o t", "y 0 u 1 d 1 0 t", " ".join(long.replace(" ", "")), long.replace(" ", "."), long.replace(" ", "_").replace("idiot", "1d10t"), long.replace(" ", "-"), "you-i.d.i.o.t"]
+    for text in said:
+        assert "idiot$" in toxicity.features(toxicity.all_words(text), letters), text
+    assert toxicity.readings("i" + "d" * 80 + "1ot", letters)[1] == "idiot"
+    learnt = toxicity.Toxicity(model, {"idiot$": 4.0}, -2.0)
+    got = learnt.scores(spark.createDataFrame([*enumerate(said), (99, "the c a t sat")], "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in got if r["__score"] < 0.5] == [99]
+
+    def best(x):
+        """Of each word in each division of x, by trying all: how probable its best division is."""
+        seen = {}
+        for cuts in range(2 ** (len(x) - 1)):
+            words = "".join(c + " " * (cuts >> i & 1) for i, c in enumerate(x)).split()
+            k = [0, 0, *(0 if c == " " else ord(c) - 96 for c in " ".join(words)), 0]
+            p, at = sum(letters[a][b][c] for a, b, c in zip(k, k[1:], k[2:])), 0
+            for w in words:
+                seen[at, w] = max(p, seen.get((at, w), p))
+                at += len(w)
+        return sorted(w for (_, w), p in seen.items() if p >= max(seen.values()) - toxicity.MARGIN)
+
+    for x in ("a", "ab", "aidiot", "youidiot"):
+        assert sorted(toxicity.divided(x, letters)) == best(x)
+
+
 def test_license_rules_and_suppression(spark):
     assert len(signatures()) > 300
     rows = [(1, "Licensed under the Apache License, Version 2.0."), (2, "SPDX-License-Identifier: GPL-3.0-or-later"), (3, "GNU Lesser General Public License v2.1"), (4, "nothing here")]
