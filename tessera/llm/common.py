@@ -1,11 +1,14 @@
 """What the operators of this subpackage share."""
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +31,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: the cluster's ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, as in tests.
+    Where the session names none, as in tests, a folder of our own is set, but on one machine only.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or "/tmp/checkpoints/tessera")
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -53,8 +58,31 @@ def shared(df: DataFrame) -> DataFrame:
 
 
 def worker_cache() -> dict:
-    """A dictionary that lives as long as the Python worker."""
-    return sys.modules.setdefault("_tessera_worker_cache", types.ModuleType("_tessera_worker_cache")).__dict__
+    """A dictionary that lives as long as the Python worker's task (see ``released``)."""
+    return sys.modules.setdefault("_tessera_worker_cache", types.ModuleType("_tessera_worker_cache")).__dict__.setdefault("kept", {})
+
+
+def give_back() -> None:
+    """Empties the worker's cache and returns free memory to the system: Arrow's and the allocator's."""
+    worker_cache().clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def released(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """run over a task's batches, after which the worker, which Spark keeps for later tasks, holds no memory for this one."""
+
+    def outer(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return outer
 
 
 def mix(x: np.ndarray) -> np.ndarray:

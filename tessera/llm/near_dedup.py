@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE2, U64, Words, documents, mix, powers, shared, texts, unit, windows
+from .common import BASE, BASE2, U64, Words, documents, mix, powers, released, shared, texts, unit, windows
 from .sentencepiece_sampling import chunks
 from .substring_dedup import Sums
 
@@ -116,7 +116,7 @@ def sketched(rows: DataFrame, bands: int, size: int, shingle: int, weighted: boo
                     [batch.column("doc_id")[take], batch.column("h")[take], pa.array(ids, type=pa.binary()), pa.array(lists, type=pa.list_(pa.int64()))], names=["doc_id", "h", "text_id", "bands"]
                 )
 
-    return rows.mapInArrow(run, "doc_id long, h long, text_id binary, bands array<long>")
+    return rows.mapInArrow(released(run), "doc_id long, h long, text_id binary, bands array<long>")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             keep = pa.array(good, type=pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(released(run), "a binary, b binary")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -214,7 +214,7 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 sets = [np.unique(element[a:b]).view(np.int64).tobytes() for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column("text_id")[part], pa.array(sets, type=pa.binary())], names=["text_id", "elements"])
 
-    return rows.join(wanted, ["doc_id", "h"]).select("text_id", "text").mapInArrow(run, "text_id binary, elements binary")
+    return rows.join(wanted, ["doc_id", "h"]).select("text_id", "text").mapInArrow(released(run), "text_id binary, elements binary")
 
 
 def classes(df: DataFrame, threshold: float = 0.8, bands: int = 20, size: int = 4, shingle: int = 5, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

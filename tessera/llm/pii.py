@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, quoted, shared
+from .common import documents, quoted, released, shared
 from .fitting import lasso_logistic
 
 #: As listed: the base kinds, then those of the method.
@@ -167,7 +167,7 @@ def found(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
     own = df.select(quoted(text_col).alias("__text"), *(quoted(c) for c in keep))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:])
-    return own.mapInArrow(run, f"{schema}, __spans {SPANS}")
+    return own.mapInArrow(released(run), f"{schema}, __spans {SPANS}")
 
 
 def reliabilities(votes: np.ndarray, n: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +241,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 
     own = rows.select(*(quoted(c) for c in keep), "__spans")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return own.mapInArrow(run, f"{schema}, spans array<struct<start:int,kind:int,end:int,base:boolean>>")
+    return own.mapInArrow(released(run), f"{schema}, spans array<struct<start:int,kind:int,end:int,base:boolean>>")
 
 
 def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -267,7 +267,7 @@ def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Dat
             columns = [pa.array(out, type=pa.string()) if n == text_col else batch.column(n) for n in names]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return spans.mapInArrow(run, df.schema)
+    return spans.mapInArrow(released(run), df.schema)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Words, documents, texts, windows
+from .common import SPACE, Words, documents, released, texts, windows
 from .fitting import held_out, labelled, lasso_logistic
 from .sentencepiece_sampling import chunks
 
@@ -76,7 +76,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 got = statistics_of(items[part])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part], *(pa.array(got[:, i]) for i in range(len(STATS)))], names=["doc_id", *STATS])
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
+    return texts(df, id_col, text_col).mapInArrow(released(run), "doc_id long, " + ", ".join(f"{s} double" for s in STATS))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above, threshold), all of which hold

@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import U64, mix, texts, unit, worker_cache
+from .common import U64, mix, released, texts, unit, worker_cache
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -315,13 +315,14 @@ def decoded(vocab: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[byt
     return [data[a + 1 : b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
 
 
-def chunks(items: list[str], limit: int = CHUNK) -> Iterator[slice]:
-    at, size = 0, 0
+def chunks(items: list, limit: int = CHUNK, size: Callable = len) -> Iterator[slice]:
+    """Slices of items that are of ``limit`` in all at most, or one item."""
+    at, total = 0, 0
     for i, x in enumerate(items):
-        if size and size + len(x) > limit:
+        if total and total + size(x) > limit:
             yield slice(at, i)
-            at, size = i, 0
-        size += len(x)
+            at, total = i, 0
+        total += size(x)
     if at < len(items):
         yield slice(at, len(items))
 
@@ -350,7 +351,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                     names=["doc_id", "n_pieces", "lossless", "ids"],
                 )
 
-    return texts(df, id_col, text_col).mapInArrow(run, "doc_id long, n_pieces long, lossless boolean, ids array<int>")
+    return texts(df, id_col, text_col).mapInArrow(released(run), "doc_id long, n_pieces long, lossless boolean, ids array<int>")
 
 
 def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: str = MODEL) -> DataFrame:
@@ -370,4 +371,4 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: s
             out = decoded(vocab, flat, np.concatenate(([0], np.cumsum(sizes))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.decode() for x in out], type=pa.string())], names=["doc_id", "text"])
 
-    return df.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(ids_col), F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return df.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(ids_col), F.array().cast("array<int>")).alias("ids")).mapInArrow(released(run), "doc_id long, text string")

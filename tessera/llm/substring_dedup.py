@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE2, U64, Words, documents, inverse, mix, powers, shared, texts, windows
+from .common import BASE, BASE2, U64, Words, documents, inverse, mix, powers, released, shared, texts, windows
 from .sentencepiece_sampling import chunks
 
 LOW = U64((1 << 24) - 1)
@@ -89,7 +89,7 @@ def long_runs(rows: DataFrame, length: int, k: int) -> DataFrame:
                     names=["doc_id", "h", "anchor", "a", "start", "n"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, h long, anchor long, a long, start int, n int")
+    return rows.mapInArrow(released(run), "doc_id long, h long, anchor long, a long, start int, n int")
 
 
 def extended(rows: DataFrame, length: int) -> DataFrame:
@@ -111,7 +111,7 @@ def extended(rows: DataFrame, length: int) -> DataFrame:
                     names=["doc_id", "h", "start", "a", "b"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, h long, start int, a long, b long")
+    return rows.mapInArrow(released(run), "doc_id long, h long, start int, a long, b long")
 
 
 def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -174,7 +174,7 @@ def deduplicate(df: DataFrame, length: int = 50, k: int = 10, id_col: str = "doc
                 names=["doc_id", "n_words", "n_removed", "kept", "ranges"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string, ranges array<struct<start:int,end:int>>")
+    return rows.mapInArrow(released(run), "doc_id long, n_words long, n_removed long, kept string, ranges array<struct<start:int,end:int>>")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, quoted, shared, texts, worker_cache
+from .common import documents, quoted, released, shared, texts, worker_cache
 from .fitting import held_out, labelled, lasso_logistic
 
 FIT_ROWS, FEATURES = 20_000, 1_000
@@ -56,7 +56,7 @@ def lm_counts(rows: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["code", "n"])
 
-    got = rows.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # 19,683 rows at most
+    got = rows.select("text").mapInArrow(released(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()  # 19,683 rows at most
     counts = np.zeros(27**3)
     counts[got.column("code").to_numpy()] = got.column("n").to_numpy()
     return counts
@@ -233,7 +233,7 @@ class Toxicity:
 
         own = df.select(*([quoted(c) for c in keep] if keep is not None else [quoted(id_col).cast("long").alias("doc_id")]), quoted(text_col).alias("__text"))
         schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1]), "__score double"])
-        return own.mapInArrow(run, schema)
+        return own.mapInArrow(released(run), schema)
 
 
 def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features: int = FEATURES, penalty: float = 1e-4, mod: int = 4, rest: int = 2, id_col: str = "doc_id", text_col: str = "text") -> Toxicity:
@@ -258,7 +258,7 @@ def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features:
             some = names[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.string()), *(pa.array([c[x] for x in some], type=pa.int64()) for c in counts)], names=["feature", "clean", "toxic"])
 
-    counted = sample.mapInArrow(tally, "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = sample.mapInArrow(released(tally), "feature string, clean long, toxic long").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     counted = shared(counted)
     totals = counted.filter("feature = ''").first()
     clean, toxic = (totals["clean"], totals["toxic"]) if totals else (0, 0)
@@ -282,7 +282,7 @@ def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features:
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, type=pa.list_(pa.int32()))], names=["label", "found"])
 
     # rows that have the same features and label count together
-    got = sample.mapInArrow(marked, "label int, found array<int>").groupBy("label", "found").agg(F.count("*").alias("n")).collect()
+    got = sample.mapInArrow(released(marked), "label int, found array<int>").groupBy("label", "found").agg(F.count("*").alias("n")).collect()
     got.sort(key=lambda r: (r["label"], r["found"]))
     x = np.zeros((len(got), len(names)))
     for i, r in enumerate(got):

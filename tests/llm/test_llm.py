@@ -130,7 +130,7 @@ def tree_scores(texts, held, depth):
 def test_language_model_against_brute_force(spark, texts, tmp_path, monkeypatch):
     some = {i: x[:400] for i, x in sorted(texts.items())[:40]} | {1001: "", 1002: None, 1003: "A a\x0bB \u00e9\u2003x unseen-zq", 1004: "same same", 1005: "same same"}
     spark.createDataFrame(list(some.items()), "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
-    monkeypatch.setattr(lm_scoring, "RUN", 500)  # several runs a deal
+    monkeypatch.setattr(lm_scoring.score, "__defaults__", (lm_scoring.DEPTH, 9_000, 500, "doc_id", "text", 10, 0))  # several blocks, and several runs a deal
     got = {r["doc_id"]: r for r in registry.QUERIES["op3_lm_scoring"](spark, str(tmp_path)).collect()}
     raw = {i: (x or "").encode() for i, x in some.items()}
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in some}
