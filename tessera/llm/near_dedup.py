@@ -9,15 +9,22 @@ looks at ranks below (k ln k + 2k) / W, so its signature costs O(W + k log k)
 darts and not W * k; sets that leave a coordinate empty look twice as far.
 
 The elements are shingles of ``shingle`` lower-cased (A-Z) words; a text of
-fewer words is one shingle. Texts of equal words are one class by their hash
-and take part once. Texts that agree in a band of the signature are held
-against the pivot of their bucket by exact Jaccard similarity of their sets of
-shingles; the pivot is the text that shares most in all its buckets, as what
-others were copied from does. Where a bucket then still holds texts of
-different classes, its texts are dealt in blocks and every two of different
-classes are held against each other by matrix products over their shingles.
-Thus no link that a bucket shows is lost, no bucket is expanded into its
-pairs, and buckets of like texts cost one comparison a text.
+fewer words is one shingle. A shingle weighs as often as it stands in the
+text. Links are decided on the sets of shingles, so a text that has a shingle
+twice also shows the bands of its unit weights: texts that are alike in either
+sense meet. Texts of equal words are one class by their hash and take part
+once.
+
+Texts that agree in a band of the signature are held against the pivot of
+their bucket by exact Jaccard similarity; the pivot is the text that shares
+most in all its buckets, as what others were copied from does. A pivot goes to
+its partners in runs of bounded size, once a run. Where a bucket then still
+holds texts of different classes, those outside its largest class are held
+against all others by matrix products over their shingles. So every two texts
+that share a bucket end in one class or have been compared, and no pair is a
+row unless it is a link or has the pivot in it. Buckets of like texts cost one
+comparison a text; those of unlike texts cost the product of the largest class
+and the rest, which the bands' length keeps rare.
 """
 from __future__ import annotations
 
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE2, U64, Words, documents, mix, powers, released, shared, texts, unit, windows
+from .common import BASE, BASE2, U64, Words, documents, mix, powers, quoted, released, shared, texts, unit, windows
 from .sentencepiece_sampling import chunks
 from .substring_dedup import Sums
 
@@ -88,8 +95,14 @@ def signatures(element: np.ndarray, weight: np.ndarray, owner: np.ndarray, sets:
     return out
 
 
-def sketched(rows: DataFrame, bands: int, size: int, shingle: int, weighted: bool) -> DataFrame:
-    """(doc_id, h, text_id, bands): text_id tells word sequences apart."""
+def banded(kept: np.ndarray, bands: int, size: int) -> np.ndarray:
+    """(sets, bands): a hash of each band of signatures."""
+    keys = (kept.reshape(len(kept), bands, size) * powers(BASE, size)).sum(axis=2, dtype=U64)
+    return mix(keys + np.arange(bands, dtype=U64) * U64(BASE2)).view(np.int64)
+
+
+def sketched(rows: DataFrame, bands: int, size: int, shingle: int) -> DataFrame:
+    """(doc_key, h, text_id, bands): text_id tells word sequences apart."""
 
     def run(batches):
         for batch in batches:
@@ -105,18 +118,26 @@ def sketched(rows: DataFrame, bands: int, size: int, shingle: int, weighted: boo
                 new = np.ones(len(element), dtype=bool)
                 new[1:] = (element[1:] != element[:-1]) | (owner[1:] != owner[:-1])
                 first = np.flatnonzero(new)
-                count = np.diff(np.append(first, len(element))).astype(float) if weighted else np.ones(len(first))
-                kept = signatures(element[first], count, owner[first], n, bands * size)
-                keys = mix((kept.reshape(n, bands, size) * powers(BASE, size)).sum(axis=2, dtype=U64) + np.arange(bands, dtype=U64) * U64(BASE2))
-                empty = words.counts == 0
-                lists = [None if e else k for e, k in zip(empty.tolist(), keys.view(np.int64).tolist())]
+                element, owner, count = element[first], owner[first], np.diff(np.append(first, len(element))).astype(float)
+                lists = banded(signatures(element, count, owner, n, bands * size), bands, size).tolist()
+                # texts with a repeated shingle: their unit weights too
+                twice = np.zeros(n, dtype=bool)
+                twice[owner[count > 1]] = True
+                if twice.any():
+                    mine = twice[owner]
+                    place = np.cumsum(twice) - 1
+                    plain = banded(signatures(element[mine], np.ones(int(mine.sum())), place[owner[mine]], int(twice.sum()), bands * size), bands, size).tolist()
+                    for i, more in zip(np.flatnonzero(twice).tolist(), plain):
+                        lists[i] = sorted({*lists[i], *more})
+                lists = [None if e else k for e, k in zip((words.counts == 0).tolist(), lists)]
                 ids = [x.tobytes() for x in np.stack((a, b), axis=1).astype(">u8")]
                 take = slice(part.start, part.stop)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[take], batch.column("h")[take], pa.array(ids, type=pa.binary()), pa.array(lists, type=pa.list_(pa.int64()))], names=["doc_id", "h", "text_id", "bands"]
-                )
+                    [batch.column("doc_key")[take], batch.column("h")[take], pa.array(ids, type=pa.binary()), pa.array(lists, type=pa.list_(pa.int64()))],
+                    names=["doc_key", "h", "text_id", "bands"],
+                )
 
-    return rows.mapInArrow(released(run), "doc_id long, h long, text_id binary, bands array<long>")
+    return rows.mapInArrow(released(run), "doc_key long, h long, text_id binary, bands array<long>")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -133,23 +154,35 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = new.select("text_id", "label")
 
 
-def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets are at least so similar."""
-    left = sets.select(F.col("text_id").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("text_id").alias("b"), F.col("elements").alias("y"))
+def alike(tried: DataFrame, sets: DataFrame, threshold: float, run_size: int = 256) -> DataFrame:
+    """(a, b): of the pairs (head, text_id) those whose sets are at least so similar.
+
+    A head's partners are dealt in runs of about ``run_size``; the head's set
+    goes once to each run, ahead of its partners' sets.
+    """
+    runs = shared(tried.groupBy("head").agg(F.ceil(F.count("*") / F.lit(run_size)).cast("int").alias("runs")))
+    dealt = tried.join(runs, "head").select("head", F.pmod(F.xxhash64("text_id"), F.col("runs")).cast("int").alias("run"), "text_id")
+    heads = runs.select("head", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("head").alias("text_id"))
+    sent = heads.unionByName(dealt).join(sets, "text_id").select("head", "run", "text_id", "elements")
+    order = sent.withColumn("is_partner", F.col("head") != F.col("text_id")).repartition("head", "run").sortWithinPartitions("head", "run", "is_partner")
 
     def run(batches):
+        head, own = None, None
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x"), batch.column("y")):
-                x, y = np.frombuffer(x.as_py(), dtype=np.int64), np.frombuffer(y.as_py(), dtype=np.int64)
-                small, large = sorted((len(x), len(y)))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if small >= threshold * large else 0
-                good.append(both >= threshold * (len(x) + len(y) - both) - 1e-9 and both > 0)
-            keep = pa.array(good, type=pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(keep)
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(released(run), "a binary, b binary")
+            a, b = [], []
+            for one, text_id, elements in zip(*(batch.column(n).to_pylist() for n in ("head", "text_id", "elements"))):
+                got = np.frombuffer(elements, dtype=np.int64)
+                if one == text_id:
+                    head, own = one, got
+                    continue
+                small, large = sorted((len(own), len(got)))
+                both = len(np.intersect1d(own, got, assume_unique=True)) if small >= threshold * large else 0
+                if both and both >= threshold * (len(own) + len(got) - both) - 1e-9:
+                    a.append(min(head, text_id))
+                    b.append(max(head, text_id))
+            yield pa.RecordBatch.from_arrays([pa.array(a, type=pa.binary()), pa.array(b, type=pa.binary())], names=["a", "b"])
+
+    return order.select("head", "run", "text_id", "elements").mapInArrow(released(run), "a binary, b binary")
 
 
 def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int = 8192) -> np.ndarray:
@@ -170,24 +203,33 @@ def intersections(left: list[np.ndarray], right: list[np.ndarray], width: int =
 
 
 def block_links(members: DataFrame, sets: DataFrame, threshold: float, block: int = 256) -> DataFrame:
-    """(a, b): the texts of a bucket that differ in label and are at least so similar.
+    """(a, b): the texts of a bucket that differ in label and are at least so similar, of which one at least is no member of the largest class.
 
-    members: (bucket, text_id, label, n). A bucket of n texts is dealt in
-    n / block parts, and each two parts meet in a task of their own: a text is
-    sent as often as there are parts, and no pair is ever a row unless it is a
-    link.
+    members: (bucket, text_id, label, rest, n, n_rest). The n texts of a bucket
+    are dealt in parts of about ``block``, and so are the n_rest texts outside
+    its largest class; a part of these and a part of all meet in a task of
+    their own. No pair is ever a row unless it is a link.
     """
-    parts = members.withColumn("parts", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("part", F.pmod(F.xxhash64("text_id"), F.col("parts")).cast("int"))
-    dealt = parts.join(sets, "text_id").select("bucket", "text_id", "label", "elements", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "text_id", "label", "elements")
+
+    def count(n: str):
+        return F.greatest(F.lit(1), F.ceil(F.col(n) / F.lit(block)).cast("int"))
+
+    def spread(n: str):
+        return F.explode(F.sequence(F.lit(0), count(n) - 1))
+
+    key = F.xxhash64("text_id")
+    columns = ["bucket", "low", "high", "side", "text_id", "label", "elements"]
+    every = members.withColumn("high", F.pmod(key, count("n")).cast("int")).withColumn("low", spread("n_rest")).withColumn("side", F.lit(1))
+    rest = members.filter("rest").withColumn("low", F.pmod(key, count("n_rest")).cast("int")).withColumn("high", spread("n")).withColumn("side", F.lit(0))
+    dealt = every.select(columns[:-1]).unionByName(rest.select(columns[:-1])).join(sets, "text_id").select(columns)
 
     def run(group: pa.Table) -> pa.Table:
-        part, low, high = group.column("part").to_numpy(), group.column("low")[0].as_py(), group.column("high")[0].as_py()
+        side = group.column("side").to_numpy()
         ids, labels = group.column("text_id").to_pylist(), group.column("label").to_pylist()
         sets_ = [np.frombuffer(x, dtype=np.int64) for x in group.column("elements").to_pylist()]
-        one, two = np.flatnonzero(part == low).tolist(), np.flatnonzero(part == high).tolist()
+        one, two = np.flatnonzero(side == 0).tolist(), np.flatnonzero(side == 1).tolist()
         found = []
-        if one and two and len(set(labels)) > 1:
+        if one and two:
             both = intersections([sets_[i] for i in one], [sets_[i] for i in two])
             size = np.array([len(x) for x in sets_], dtype=np.float64)
             like = both >= threshold * (size[one][:, None] + size[two][None, :] - both) - 1e-9
@@ -214,51 +256,83 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 sets = [np.unique(element[a:b]).view(np.int64).tobytes() for a, b in zip(np.concatenate(([0], ends[:-1])).tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column("text_id")[part], pa.array(sets, type=pa.binary())], names=["text_id", "elements"])
 
-    return rows.join(wanted, ["doc_id", "h"]).select("text_id", "text").mapInArrow(released(run), "text_id binary, elements binary")
+    return rows.join(wanted, ["doc_key", "h"]).select("text_id", "text").mapInArrow(released(run), "text_id binary, elements binary")
 
 
-def classes(df: DataFrame, threshold: float = 0.8, bands: int = 20, size: int = 4, shingle: int = 5, weighted: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, class_size, n_links) of every row.
+#: Stands for a null id, after all others when doc_key is compared.
+NO_ID = 2**63 - 1
 
-    class_id is the least id of the row's class (null if all its ids are
-    null), class_size the rows of the class. n_links counts the verified links
-    of the row's text to different texts. Texts without words (empty or null)
-    are copies of each other. With ``weighted``, a shingle weighs as often as
-    it occurs when signatures are made; links are decided on sets either way.
-    """
-    # a row that is neither null nor repeated has its own (doc_id, h)
-    rows = texts(df, id_col, text_col).withColumn("h", F.xxhash64("text")).withColumn("doc_key", F.coalesce("doc_id", F.lit(-(2**63))))
-    keyed = rows.select(F.col("doc_key").alias("doc_id"), "h", "text")
-    found = shared(sketched(keyed, bands, size, shingle, weighted))
-    bearer = shared(found.groupBy("text_id").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.min(F.when(F.col("doc_id") > -(2**63), F.col("doc_id"))).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands")))
-    banded = bearer.filter("bands IS NOT NULL").select("text_id", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = shared(banded.join(sizes, "bucket"))
+
+def identified(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_key, h, text): a row that is neither without an id nor repeated has its own (doc_key, h)."""
+    return texts(df, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_key"), F.xxhash64("text").alias("h"), "text")
+
+
+def grouped(df: DataFrame, threshold: float, bands: int, size: int, shingle: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_key, h, text_id) of every row, and (text_id, label, one, n) of every word sequence: its class, its first bearer (doc_key, h), its rows."""
+    keyed = identified(df, id_col, text_col)
+    found = shared(sketched(keyed, bands, size, shingle))
+    bearer = shared(found.groupBy("text_id").agg(F.min(F.struct("doc_key", "h")).alias("one"), F.count("*").alias("n"), F.first("bands").alias("bands")))
+    banded_ = bearer.filter("bands IS NOT NULL").select("text_id", F.explode("bands").alias("bucket"))
+    # what is joined with a hot bucket is a table of its own, so that the join alone is dealt anew at run time
+    sizes = shared(banded_.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    crowded = shared(banded_.join(sizes, "bucket"))
     # a text's weight: how many share its buckets; what others were copied from weighs most
-    weights = crowded.groupBy("text_id").agg(F.sum("n").alias("weight"))
+    weights = shared(crowded.groupBy("text_id").agg(F.sum("n").alias("weight")))
     weighed = shared(crowded.join(weights, "text_id"))
-    heads = weighed.groupBy("bucket").agg(F.max_by("text_id", F.struct("weight", "text_id")).alias("head"))
-    buckets = shared(weighed.join(heads, "bucket"))
-    wanted = buckets.select("text_id").distinct().join(bearer, "text_id").select("text_id", "one.doc_id", "one.h")
+    heads = shared(weighed.groupBy("bucket").agg(F.max_by("text_id", F.struct("weight", "text_id")).alias("head")))
+    buckets = shared(weighed.join(heads, "bucket").select("bucket", "text_id", "n", "head"))
+    wanted = buckets.select("text_id").distinct().join(bearer, "text_id").select("text_id", "one.doc_key", "one.h")
     sets = shared(shingle_sets(keyed, wanted, shingle).dropDuplicates(["text_id"]))
     nodes = sets.select("text_id")
-    tried = shared(buckets.filter("text_id <> head").select(F.least("head", "text_id").alias("a"), F.greatest("head", "text_id").alias("b")).distinct())
-    links = shared(alike(tried, sets, threshold))
+    tried = shared(buckets.filter("text_id <> head").select("head", "text_id").distinct())
+    links = shared(alike(tried, sets, threshold).distinct())
     labels = components(nodes, links)
     named = buckets.filter("n > 2").join(labels, "text_id").select("bucket", "text_id", "label")
-    mixed = named.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low <> high").select("bucket", "n")
-    more = shared(block_links(named.join(mixed, "bucket"), sets, threshold).distinct())
+    kinds = named.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    mixed = kinds.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("most"), F.sum("c").alias("n"), F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = shared(mixed.select("bucket", F.col("most.label").alias("main"), "n", (F.col("n") - F.col("most.c")).alias("n_rest")))
+    members = named.join(mixed, "bucket").withColumn("rest", F.col("label") != F.col("main")).drop("main")
+    more = shared(block_links(members, sets, threshold).distinct())
     if not more.isEmpty():
-        links = shared(links.union(more).distinct())
-        labels = components(nodes, links)
-    degree = links.select(F.col("a").alias("text_id")).union(links.select("b")).groupBy("text_id").agg(F.count("*").alias("n_links"))
-    told = bearer.select("text_id", "least", "n").join(labels, "text_id", "left").join(degree, "text_id", "left")
-    told = shared(told.select("text_id", "least", "n", F.coalesce("label", "text_id").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")))
-    sizes = told.groupBy("label").agg(F.min("least").alias("class_id"), F.sum("n").alias("class_size"))
-    of_text = told.select("text_id", "label", "n_links").join(sizes, "label").select("text_id", "class_id", "class_size", "n_links")
-    out = found.select("doc_id", "text_id").join(of_text, "text_id")
-    return out.select(F.when(F.col("doc_id") > -(2**63), F.col("doc_id")).alias("doc_id"), "class_id", "class_size", "n_links")
+        labels = components(nodes, shared(links.union(more).distinct()))
+    told = bearer.join(labels, "text_id", "left").select("text_id", F.coalesce("label", "text_id").alias("label"), "one", "n")
+    return found.select("doc_key", "h", "text_id"), shared(told)
+
+
+def classes(
+    df: DataFrame, threshold: float = 0.8, bands: int = 20, size: int = 4, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, class_id, class_size) of every row.
+
+    class_id is the least id of the row's class (null if all its ids are
+    null), class_size the rows of the class. Texts without words (empty, null
+    or blank) are copies of each other; so are texts that differ in the case
+    of A-Z or in white space only. Rows of one id are told apart by their
+    texts, equal rows are copies. Texts of any length are read whole, a
+    similarity equal to the threshold links, and an empty table gives no rows.
+    """
+    found, told = grouped(df, threshold, bands, size, shingle, id_col, text_col)
+    own = shared(told.groupBy("label").agg(F.min("one.doc_key").alias("class_id"), F.sum("n").alias("class_size")))
+    of_text = shared(told.select("text_id", "label").join(own, "label").select("text_id", "class_id", "class_size"))
+    out = found.select("doc_key", "text_id").join(of_text, "text_id")
+    return out.select(F.expr(f"nullif(doc_key, {NO_ID})").alias("doc_id"), F.expr(f"nullif(class_id, {NO_ID})").alias("class_id"), "class_size")
+
+
+def survivors(
+    df: DataFrame, threshold: float = 0.8, bands: int = 20, size: int = 4, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None
+) -> DataFrame:
+    """df with one row of each class of near duplicates: of the least id, else of the least hash of its text; with ``keep``, only these columns.
+
+    Rows without an id come after all others. Of equal rows one stays.
+    """
+    _, told = grouped(df, threshold, bands, size, shingle, id_col, text_col)
+    first = told.groupBy("label").agg(F.min("one").alias("one")).select(F.col("one.doc_key").alias("__key"), F.col("one.h").alias("__h"))
+    key, h = F.coalesce(quoted(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.coalesce(quoted(text_col), F.lit("")))
+    own = df.select(*(quoted(c) for c in keep or df.columns), key.alias("__key"), h.alias("__h"))
+    return own.join(first, ["__key", "__h"], "left_semi").dropDuplicates(["__key", "__h"]).drop("__key", "__h")
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """(doc_id, class_id, class_size) of every document, null and empty texts too."""
     return classes(documents(spark, sf_dir))
