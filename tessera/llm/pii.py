@@ -5,18 +5,22 @@ names that precede secrets). Labelers then vote on each candidate, for, against
 or not at all: its format's check, gazetteers, the words before it, its shape.
 Expectation-maximisation over the counts of vote patterns of the whole corpus
 estimates how reliable each labeler is for each kind and how probable each
-candidate is; a logistic regression over the candidates' features is trained on
-these probabilities and makes the final decision. Base spans always stay; the
-classifier adds further ones, the more probable of two that overlap.
-
-The counts are of patterns (at most ``KINDS * 3**LABELERS * 2**FEATURES``), so
-what the driver sees has a bound that no corpus moves.
+candidate is; a logistic regression over the candidate's features (what its
+labelers look at, and its length, alphabet and neighbours, which no labeler
+sees) is trained on these probabilities and makes the final decision. Base
+spans always stay; the classifier adds further ones, the more probable of two
+that overlap.
+
+The counts are of patterns (at most ``KINDS * 3**LABELERS * 2**SHAPES``, the
+other features being what the votes say), so what the driver sees has a bound
+that no corpus moves.
 """
 from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +32,11 @@ from .fitting import lasso_logistic
 
 #: As listed: the base kinds, then those of the method.
 KIND_NAMES = ["email", "ip", "card", "phone", "secret", "ssn", "iban"]
-KINDS, LABELERS, FEATURES = len(KIND_NAMES), 5, 5
+KINDS, LABELERS, SHAPES = len(KIND_NAMES), 5, 5
+FEATURES = LABELERS + SHAPES
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # as the contract's: a match never starts within digits
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
@@ -50,6 +55,8 @@ CONTEXT = {
     "iban": ("iban", "bank", "account", "transfer"),
 }
 TOP_DOMAINS = frozenset("com org net edu gov io co de fr es uk us info biz eu ch at it nl".split())
+#: Numbers of this form that were printed for show and belong to nobody.
+VOID_NUMBERS = frozenset(("078051120", "219099999", "123456789", "111111111"))
 CARD_STARTS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65", "22", "23", "24", "25", "26", "27", "35", "30", "36", "38")
 
 
@@ -76,7 +83,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     if not any(c in text for c in "0123456789"):
         return out
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in m[0].split("."))):
             out.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -97,10 +104,19 @@ def candidates(text: str) -> list[tuple[int, int, int, bool]]:
     """
     base = base_spans(text)
     out = {(s, k, e): True for s, k, e in base}
+    # of the base cards, which are apart, and of all other base spans: starts, and the greatest end so far
+    cards, rest = [x for x in base if x[1] == 2], [x for x in base if x[1] != 2]
+    starts, ends = [x[0] for x in rest], list(accumulate((x[2] for x in rest), max))
+    firsts, lasts = [x[0] for x in cards], [x[2] for x in cards]
 
     def add(k: int, s: int, e: int) -> None:
-        if not any(x < e and s < y and not (k == 6 and kind == 2 and s <= x and y <= e) for x, kind, y in base):
-            out.setdefault((s, k, e), False)
+        i = bisect_left(starts, e)
+        if i and ends[i - 1] > s:
+            return
+        low, high = bisect_right(lasts, s), bisect_left(firsts, e)  # the cards that it meets
+        if low < high and not (k == 6 and s <= firsts[low] and lasts[high - 1] <= e):
+            return
+        out.setdefault((s, k, e), False)
 
     if any(c in text for c in "0123456789"):
         for m in CARD.finditer(text):
@@ -137,7 +153,7 @@ def judged(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
     elif kind == 4:
         valid, known = len(span) >= 12, len(set(span)) >= 8
     elif kind == 5:
-        valid, known = not span.startswith(("000", "666", "9")) and span[4:6] != "00" and span[7:] != "0000", near
+        valid, known = not span.startswith(("000", "666", "9")) and span[4:6] != "00" and span[7:] != "0000", joined not in VOID_NUMBERS
     else:
         packed = span.replace(" ", "")
         number = int("".join(str(int(c, 36)) for c in packed[4:] + packed[:4]))
@@ -145,7 +161,8 @@ def judged(text: str, start: int, kind: int, end: int) -> tuple[int, int]:
     varied = len(set(span)) >= min(5, len(span))
     alone = (start == 0 or not text[start - 1].isalnum()) and (end == len(text) or not text[end].isalnum())
     votes = (2 if valid else 1, 2 if known else 1, 2 if near else 0, 2 if varied else 1, 2 if alone else 1)
-    flags = (valid, known, near, varied, alone)
+    shapes = (len(span) >= 20, 2 * len(digits) >= len(span), any(c in " -." for c in span), before.rstrip()[-1:] in ("=", ":"), text[end : end + 1] in ("", " ", "\n", ".", ","))
+    flags = (valid, known, near, varied, alone, *shapes)
     return sum(v * 3**i for i, v in enumerate(votes)), sum(int(f) << i for i, f in enumerate(flags))
 
 
@@ -222,11 +239,13 @@ def resolved(spans: list[dict], accepted: dict[tuple[int, int], float], threshol
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, spans) of every row, or with ``keep`` these columns and spans.
+    """(doc_id, spans) of every row, or with ``keep`` these columns (none called spans) and spans.
 
     spans is an array of (start, kind, end, base), by start and then kind: code
-    points, end exclusive; further spans never overlap each other. An empty or null text has no spans. Equal rows get
-    equal spans.
+    points, end exclusive; further spans never overlap each other. An empty or
+    null text has no spans. Equal rows get equal spans. Texts of any length are
+    searched whole, in time that grows with the length. Of spans that are
+    equally probable and long, the first stays. An empty table gives no rows.
     """
     if keep is None:
         df, keep, text_col = df.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("__t")), ["doc_id"], "__t"
@@ -247,15 +266,18 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
 def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """df with each detected span of the text replaced by its kind, as in ``[EMAIL]``; a null text stays null.
 
-    Of overlapping spans the one that starts first, or else the longest, gives the name.
+    Of overlapping spans the one that starts first, or else the longest, gives
+    the name. Columns of any other name pass through; an empty table stays one.
     """
     names = df.columns
-    spans = detect(df, text_col=text_col, keep=names, threshold=threshold)
+    own = df.select(F.struct(*(quoted(c) for c in names)).alias("row"), quoted(text_col).alias("text"))
+    spans = detect(own, text_col="text", keep=["row"], threshold=threshold)
 
     def run(batches):
         for batch in batches:
             out = []
-            for text, found_ in zip(batch.column(text_col).to_pylist(), batch.column("spans").to_pylist()):
+            row = batch.column("row")
+            for text, found_ in zip(row.field(names.index(text_col)).to_pylist(), batch.column("spans").to_pylist()):
                 if text and found_:
                     parts, at = [], 0
                     for s in sorted(found_, key=lambda s: (s["start"], -s["end"])):
@@ -264,13 +286,14 @@ def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Dat
                         at = max(at, s["end"])
                     text = "".join([*parts, text[at:]])
                 out.append(text)
-            columns = [pa.array(out, type=pa.string()) if n == text_col else batch.column(n) for n in names]
+            columns = [pa.array(out, type=pa.string()) if n == text_col else row.field(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return spans.mapInArrow(released(run), df.schema)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:
+    """One row per document, also of null and empty texts: counts and digest of the base spans, and all spans as text."""
     names = F.array(*(F.lit(n) for n in KIND_NAMES))
 
     def written(spans):
