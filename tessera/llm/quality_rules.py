@@ -1,7 +1,7 @@
 """Line-first quality rules, in DataFrame functions alone.
 
 Each line is judged by itself: navigation (items between bars), shouting,
-symbols, boilerplate phrases, and missing punctuation in a long line. Lines
+symbols, boilerplate phrases, and no punctuation in UNPUNCTUATED words or more. Lines
 that fail are removed, and a document that loses more than ``most_lost`` of
 its text is rejected, beside those that fail the base rules.
 """
@@ -20,6 +20,8 @@ BOILERPLATE = (
     "|sign up for our newsletter|subscribe to our|click here to|share (this )?on (facebook|twitter)|skip to (main )?content|powered by wordpress|lorem ipsum"
 )
 MOST_LOST = 0.5
+#: From so many words on a line has a mark of punctuation.
+UNPUNCTUATED = 20
 
 
 def line_fault(line: Column) -> Column:
@@ -35,7 +37,7 @@ def line_fault(line: Column) -> Column:
         .when((n >= 4) & (count(SYMBOLS) * 3 >= n), "symbols")
         .when((n >= 4) & (count("!") * 2 >= n), "shouting")
         .when(line.rlike(f"(?i)({BOILERPLATE})"), "boilerplate")
-        .when((n >= 200) & (count(r"[.!?:;,\x{3002}\x{FF0C}\x{FF01}\x{FF1F}]") == 0), "punctuation"),
+        .when((n >= UNPUNCTUATED) & (count(r"[.!?:;,\x{3002}\x{FF0C}\x{FF01}\x{FF1F}]") == 0), "punctuation"),
     )
 
 
@@ -76,7 +78,10 @@ def clean(df: DataFrame, most_lost: float = MOST_LOST, id_col: str = "doc_id", t
 
     cleaned is the text without the lines that fail a rule; lost is the share
     of the non-blank lines' characters that they held. A text without words
-    (null, empty or blank) fails the base rules, as has fewer than ten words.
+    (null, empty or blank) fails the base rules, as does one of fewer than ten
+    words. A share of just ``most_lost`` is kept. Equal rows get equal results,
+    texts of any length are judged whole, other columns may have any name and
+    an empty table gives no rows.
     """
     rows = texts(df, id_col, text_col).withColumn("m", measures(F.col("text")))
     lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("line"), line_fault(x).alias("fault")))
@@ -97,6 +102,7 @@ def clean(df: DataFrame, most_lost: float = MOST_LOST, id_col: str = "doc_id", t
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """One row per document, null and empty texts too: the base measures, the verdict, and the lines that failed."""
     return clean(documents(spark, sf_dir)).drop("cleaned", "lost")
 
 
@@ -112,7 +118,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
    length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS sy, length(x) - length(replace(x, '!', '')) AS ex,
    length(x) - length(regexp_replace(x, '[.!?:;,。，！？]', '', 'g')) AS pu FROM l0),
  l2 AS (SELECT doc_id, x, n, (bars >= 3 AND bars * 4 >= n) OR (n >= 4 AND sy * 3 >= n) OR (n >= 4 AND ex * 2 >= n)
-   OR regexp_matches(x, '(?i)({BOILERPLATE})') OR (n >= 200 AND pu = 0) AS bad FROM l1),
+   OR regexp_matches(x, '(?i)({BOILERPLATE})') OR (n >= {UNPUNCTUATED} AND pu = 0) AS bad FROM l1),
  l3 AS (SELECT doc_id, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) - count(DISTINCT CASE WHEN n > 0 THEN x END) AS dup, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS nbad,
    sum(CASE WHEN n > 0 THEN length(x) ELSE 0 END) AS chars, sum(CASE WHEN bad AND n > 0 THEN length(x) ELSE 0 END) AS lost FROM l2 GROUP BY doc_id),
  a AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
