@@ -12,17 +12,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, texts
-from .license_rules import S, signatures
+from .license_rules import S, signatures, stems
 from .native import ALNUM, GAP, let
 
 #: Fixed by the contract: phrases and labels.
 PHRASES = {"mit": ("mit", "license"), "apache": ("apache", "license"), "gpl": ("general", "public", "license")}
-#: Every rule's match has one of these, in lower case. None has a space where a pattern lets other things stand.
-STEMS = ("licen", "spdx", "copyright", "all rights reserved", "creativecommons", "cc0", "attribution", "gnu.org", "mozilla.org", "opensource.org", "apache.org", "opendatacommons", "permission is hereby granted", "permission to use",
-         "redistribution and use", "free software", "unencumbered", "source code form", "wtfpl.net", "boost.org", "eclipse.org", "python.org", "php.net", "openssl.org", "sil.org", "europa.eu", "cecill.info", "postgresql.org", "w3.org",
-         "mongodb.com", "mariadb.com", "elastic.co", "firstdonoharm", "json.org", "llama.meta.com", "coscl.org")
+#: Every family rule's match has one of these, in lower case. None has a space where a pattern lets other things stand.
+STEMS = (
+    "licen", "spdx", "creativecommons", "cc0", "attribution", "gnu.org", "mozilla.org", "opensource.org", "apache.org", "opendatacommons",
+    "wtfpl.net", "boost.org", "eclipse.org", "python.org", "php.net", "openssl.org", "sil.org", "europa.eu", "cecill.info", "postgresql.org",
+    "w3.org", "mongodb.com", "mariadb.com", "elastic.co", "firstdonoharm", "json.org", "llama.meta.com", "coscl.org",
+)
 #: Or it holds a word and a match of the pattern: words that may stand on two lines or have marks between them.
-SPLIT_STEMS = (("under", r"(?:released|distributed|available|provided)\s{1,3}under"), ("commons", f"creative{S}commons"), ("cc", f"cc{S}by"), ("domain", f"public{S}domain"))
+SPLIT_STEMS = (("under", r"(?:released|distributed|available|provided)\s{1,3}under"), ("commons", f"creative{S}commons"), ("cc", f"cc{S}by"))
 
 
 def phrase(words: tuple[str, ...]) -> str:
@@ -75,7 +77,9 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     Base places are those of PHRASES; labels also has what the rules find.
     detections are the intervals that stay, in characters from 0; score is the
     greatest certainty of a detection or, for a base phrase, 0.8 (0 without).
-    A null or empty text has no words and no labels.
+    A null or empty text has no words and no labels; equal rows get equal
+    results. Of intervals with one start and end the better priority stays.
+    Texts of any length are scanned whole; an empty table gives no rows.
     """
     rows = texts(df, id_col, text_col)
     word = F.lit(f"{ALNUM}+")
@@ -102,6 +106,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         stem = stem | F.contains("low", F.lit(s))
     for s, pattern in SPLIT_STEMS:
         stem = stem | (F.contains("low", F.lit(s)) & F.col("low").rlike(pattern))
+    for first, others in stems().items():
+        beside = F.lit("" in others)
+        for word_ in sorted(others - {""}):
+            beside = beside | F.contains("low", F.lit(word_))
+        stem = stem | (F.contains("low", F.lit(first)) & beside)
     rows = rows.withColumn("low", low).select("doc_id", "text", F.when(stem, F.col("low")).alias("low"), words_in(F.col("text")).alias("n_words"))
     found = let(rules(), lambda all_: F.flatten(F.filter(F.transform(F.filter(all_, lambda r: F.contains(F.col("low"), r["keyword"])), lambda r: intervals(F.col("text"), r)), lambda x: x.isNotNull())))
     rows = rows.select("doc_id", "n_words", F.when(F.contains("low", F.lit("license")), base(F.col("text"))).alias("base"), F.when(F.col("low").isNotNull(), resolved(found)).alias("found"))
@@ -121,4 +130,5 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
+    """One row per document, null and empty texts too: the base places and all labels."""
     return scan(documents(spark, sf_dir)).drop("detections")
