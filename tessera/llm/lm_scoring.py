@@ -412,4 +412,5 @@ def score(
 
 
 def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
+    """One row per document, null and empty texts too: the unigram base score and the context tree's."""
     return score(documents(spark, sf_dir))

@@ -3,7 +3,7 @@
 Small trees are grown over statistics of the labelled texts; every path from a
 root to a node is a conjunctive rule. A lasso logistic regression keeps few of
 the rules, and these are compiled into one Spark column expression over the
-statistics, which scores all rows without Python.
+statistics. The statistics come from one Arrow pass over the texts.
 
 Trees and weights are fitted on at most ``fit_rows`` labelled training rows.
 """
@@ -67,7 +67,7 @@ def statistics_of(items: list[bytes]) -> np.ndarray:
 
 
 def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, STATS...) of every row."""
+    """(doc_id, STATS...) of every row; a null or empty text has 0 in all but line_bytes, equal rows are equal, texts of any length are read whole."""
 
     def run(batches):
         for batch in batches:
@@ -129,7 +129,11 @@ class RuleEnsemble:
 
 
 def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, trees: int = TREES, depth: int = DEPTH, penalty: float = 5e-4, mod: int = 3, rest: int = 1, id_col: str = "doc_id", text_col: str = "text") -> RuleEnsemble:
-    """Learns rules from labelled training rows; without labels the score is 1/2, with one kind only that kind's."""
+    """Learns rules from labelled training rows; without labels the score is 1/2, with one kind only that kind's.
+
+    Labels that are null or without a document don't count; of several labels
+    of an id the greatest does. Documents that share an id are all samples.
+    """
     sample = texts(df, id_col, text_col).join(F.broadcast(labelled(labels, "quality", mod, rest, fit_rows)), "doc_id")
     got = statistics(sample).join(F.broadcast(labelled(labels, "quality", mod, rest, fit_rows)), "doc_id").orderBy("doc_id", *STATS).toArrow()
     y = (got.column("label").to_numpy() == 1).astype(float)
@@ -152,6 +156,7 @@ def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, trees: int =
 
 
 def op5_quality_classifier(spark, sf_dir: str) -> DataFrame:
+    """One row per document, null and empty texts too, scored by the rules that the labels outside the held-out fold teach."""
     docs = documents(spark, sf_dir)
     learnt = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = statistics(docs).select("doc_id", held_out(3, 1).alias("held_out"), learnt.column().alias("score"))

@@ -6,7 +6,8 @@ of all paths that reach it, the backward pass draws a path with exactly the
 probability of its weight. The draws are a hash of (seed, row key, place), so
 a row always gets the same segmentation, wherever it is computed.
 
-A piece of rank r among the vocabulary's pieces has the weight
+The public model gives its pieces ranks and no probabilities, so their weights
+are an assumption of ours (Zipf's law): a piece of rank r has the weight
 ``(r + 3) ** -theta``; a byte piece has that of twice the last rank. A larger
 theta prefers fewer, more frequent pieces. No piece of the vocabulary has the
 space mark after another character, so the lattice of a text falls apart into
@@ -28,7 +29,7 @@ from .common import U64, mix, released, texts, unit, worker_cache
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "mark " + MARK  # has a space, so no word of a text is equal to it
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 
 
 def load_pieces(path: str = MODEL) -> list[tuple[bytes, int]]:
@@ -238,7 +239,7 @@ def shares(vocab: Vocabulary, src, dst, piece, first, size, of) -> np.ndarray:
 class Known:
     """The lattices of the words met last by this worker, at most ``most`` of them."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 100_000):
         self.most = most
         self.clear()
 
@@ -333,7 +334,9 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     ids is the sampled segmentation, the empty array for an empty or null text.
     lossless says whether decoding ids gave back the whole text. The draws
     depend on (seed, id) alone: repeated rows get equal ids; a null id counts
-    as 0.
+    as 0. Texts of any length, and words of any length, are segmented whole.
+    An empty table gives no rows; columns other than the two named are not
+    read.
     """
     pieces = load_pieces(model)
 

@@ -294,6 +294,7 @@ def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features:
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """One row per document, scored by what the labels outside the held-out fold teach; empty and null texts get the score of no feature."""
     docs = documents(spark, sf_dir)
     learnt = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return learnt.scores(docs).select("doc_id", held_out(4, 2).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.3).cast("int").alias("predicted"))
