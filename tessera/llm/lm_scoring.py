@@ -177,13 +177,13 @@ def asked(rows: DataFrame, depth: int) -> DataFrame:
         keys = list(count)
         for i in range(0, len(keys), 1 << 16):
             some = keys[i : i + (1 << 16)]
-            own, n = pa.array(np.full(len(some), block)), pa.array([count[w] for w in some], type=pa.int64())
+            own, n = pa.array(np.full(len(some), block, dtype=np.int32)), pa.array([count[w] for w in some], type=pa.int64())
             yield pa.RecordBatch.from_arrays([own, pa.array(some, type=pa.binary()), pa.nulls(len(some), pa.int64()), n], names=names)
         distinct, n = gathered(found) if found else (np.empty(0, dtype=np.int64),) * 2
         found.clear()
         for i in range(0, len(distinct), 1 << 16):
             some = distinct[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block)), pa.nulls(len(some), pa.binary()), pa.array(some), pa.array(n[i : i + (1 << 16)])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), block, dtype=np.int32)), pa.nulls(len(some), pa.binary()), pa.array(some), pa.array(n[i : i + (1 << 16)])], names=names)
 
     def run(batches):
         # rows come block by block: one block's words and grams are held at a time
@@ -226,7 +226,7 @@ def asked(rows: DataFrame, depth: int) -> DataFrame:
             drain()
             yield from given(block, count, found)
 
-    return rows.mapInArrow(released(run), "block long, word binary, gram long, n long")
+    return rows.mapInArrow(released(run), "block int, word binary, gram long, n long")
 
 
 def gathered(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -240,24 +240,6 @@ def in_deals(counted: DataFrame, depth: int, deals: int, run, schema: str) -> Da
     return dealt.sortWithinPartitions("gram").mapInArrow(released(run), schema)
 
 
-def by_context(batches, shift: int):
-    """(grams, counts) of each context, which is what stands above ``shift`` bits of the sorted grams."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    last = None
-    for batch in batches:
-        grams, n = (batch.column(x).to_numpy(zero_copy_only=False) for x in ("gram", "n"))
-        context = grams >> shift
-        cuts = [0, *(np.flatnonzero(np.diff(context)) + 1).tolist(), len(grams)] if len(grams) else [0]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and context[a] != last:
-                yield tuple(map(np.concatenate, zip(*held)))
-                held = []
-            held.append((grams[a:b].copy(), n[a:b].copy()))
-            last = context[a]
-    if held:
-        yield tuple(map(np.concatenate, zip(*held)))
-
-
 def runs(grams: np.ndarray, shift: int, most: int):
     """Slices of about ``most`` sorted grams, those that agree above ``shift`` bits being in one."""
     context, at = grams >> shift, 0
@@ -268,16 +250,25 @@ def runs(grams: np.ndarray, shift: int, most: int):
 
 
 def small(batches, depth: int, most: int):
-    """(grams, counts) of one or more whole contexts of TOP bytes; those of a large one alone."""
-    waiting, size = [], 0
-    for grams, n in by_context(batches, 8 * (depth - TOP) + 8):
-        if waiting and size + len(grams) > most:
-            yield tuple(map(np.concatenate, zip(*waiting)))
-            waiting, size = [], 0
-        waiting.append((grams, n))
-        size += len(grams)
-    if waiting:
-        yield tuple(map(np.concatenate, zip(*waiting)))
+    """(grams, counts) of one or more whole contexts of TOP bytes, of sorted grams: about ``most`` grams, or a larger context alone."""
+    shift = 8 * (depth - TOP) + 8
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, enough = 0, most
+    for batch in batches:
+        held.append(tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in ("gram", "n")))
+        size += len(held[-1][0])
+        if size < enough:
+            continue
+        grams, n = map(np.concatenate, zip(*held))
+        cut = int(np.searchsorted(grams >> shift, grams[-1] >> shift))
+        if cut:
+            yield grams[:cut], n[:cut]
+        held = [(grams[cut:].copy(), n[cut:].copy())]
+        size = len(grams) - cut
+        enough = max(most, 2 * size)  # a context beyond ``most`` is not joined anew with each batch
+    if size:
+        grams, n = map(np.concatenate, zip(*held))
+        yield grams, n
 
 
 def top_level(grams: np.ndarray, n: np.ndarray, depth: int, most: int) -> Level:
@@ -391,8 +382,10 @@ def score(
     rows = rows.filter("doc_id IS NOT NULL").withColumn("times", F.lit(1).cast("long")).unionByName(alone)
     size, n = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     blocks = max(1, math.ceil((size + 64 * n) / block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
-    wanted = shared(asked(rows.sortWithinPartitions("block"), depth))
+    # a block is a partition: by its number, not by a hash that would put several together
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")
+    rows = rows.withColumn("block", block).repartitionById(blocks, F.col("block"))
+    wanted = shared(asked(rows, depth))
     words = shared(wanted.filter("gram IS NULL").groupBy("word").agg(F.sum("n").alias("n")))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
     every = total + 0.1 * (distinct + 1)
@@ -407,7 +400,7 @@ def score(
     of_grams = wanted.filter("gram IS NOT NULL").select("block", "gram").join(gram_value, "gram")
     back = of_words.unionByName(shared(of_grams.select("block", F.lit(None).cast("binary").alias("word"), "gram", "value")))
     del wanted, grams, words, gram_value, of_grams
-    out = repeated(scored(rows, back, depth, unseen), "times")
+    out = repeated(scored(rows, back.repartitionById(blocks, F.col("block")), depth, unseen), "times")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
