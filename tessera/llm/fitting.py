@@ -25,20 +25,30 @@ def held_out(mod: int, rest: int):
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % mod == rest
 
 
-def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 800) -> tuple[np.ndarray, float]:
-    """Weights and bias of an L1-penalised logistic regression, by accelerated proximal steps; y may be soft."""
+def lasso_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 800, times: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of an L1-penalised logistic regression, by accelerated proximal steps; y may be soft, a row counts ``times``.
+
+    x is not copied; with single precision in x, its products have that too.
+    """
     n, d = x.shape
     if not n:
         return np.zeros(d), 0.0
-    a = np.column_stack((x, np.ones(n)))
+    share = np.full(n, 1 / n) if times is None else times / times.sum()
+
+    def out(u: np.ndarray) -> np.ndarray:
+        return x @ u[:-1].astype(x.dtype) + u[-1]
+
+    def back(r: np.ndarray) -> np.ndarray:
+        return np.append((r.astype(x.dtype) @ x).astype(np.float64), r.sum())
+
     v = np.random.default_rng(0).normal(size=d + 1)
     for _ in range(30):  # the largest singular value, by power iteration
-        v = a.T @ (a @ v)
+        v = back(share * out(v))
         v /= np.linalg.norm(v) + 1e-12
-    size = float(v @ (a.T @ (a @ v))) / 4 / n * 1.05 + 1e-9
+    size = float(v @ back(share * out(v))) / 4 * 1.05 + 1e-9
     w, u = np.zeros(d + 1), np.zeros(d + 1)
     for t in range(steps):
-        grad = a.T @ (1 / (1 + np.exp(-np.clip(a @ u, -50, 50))) - y) / n
+        grad = back(share * (1 / (1 + np.exp(-np.clip(out(u), -50, 50))) - y))
         new = u - grad / size
         new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - penalty / size, 0.0)
         u = new + t / (t + 3) * (new - w)

@@ -216,10 +216,7 @@ def learnt(patterns: list) -> tuple[dict[tuple[int, int], float], dict[str, np.n
         n = np.array([x for _, _, x in own], dtype=float)
         p, reliable[KIND_NAMES[kind]] = reliabilities(votes, n)
         x = np.array([[f >> i & 1 for i in range(FEATURES)] for _, f, _ in own], dtype=float)
-        # soft labels; each pattern as often as its share of the candidates
-        share = n / n.sum() * len(n)
-        times = np.maximum(1, np.round(share * 20)).astype(int)
-        w, b = lasso_logistic(np.repeat(x, times, axis=0), np.repeat(p, times), 1e-4)
+        w, b = lasso_logistic(x, p, 1e-4, times=n)  # soft labels
         for (_, f, _), row in zip(own, x):
             accepted[kind, f] = float(1 / (1 + math.exp(-max(-50.0, min(50.0, row @ w + b)))))
     return accepted, reliable

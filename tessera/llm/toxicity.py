@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, quoted, released, shared, texts, worker_cache
+from .common import documents, give_back, quoted, released, shared, texts, worker_cache
 from .fitting import held_out, labelled, lasso_logistic
 
 FIT_ROWS, FEATURES = 20_000, 1_000
@@ -279,17 +279,18 @@ def fit(df: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, n_features:
         letters = unpacked(raw)
         for batch in batches:
             found = [sorted(place[f] for f in features(list(set(all_words(t))), letters) if f in place) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(found, type=pa.list_(pa.int32()))], names=["label", "found"])
-
-    # rows that have the same features and label count together
-    got = sample.mapInArrow(released(marked), "label int, found array<int>").groupBy("label", "found").agg(F.count("*").alias("n")).collect()
-    got.sort(key=lambda r: (r["label"], r["found"]))
-    x = np.zeros((len(got), len(names)))
-    for i, r in enumerate(got):
-        x[i, r["found"]] = 1.0
-    times = np.array([r["n"] for r in got])
-    x, y = np.repeat(x, times, axis=0), np.repeat([float(r["label"] == 1) for r in got], times)
-    weights, bias = lasso_logistic(x, y, penalty)
+            packed = pa.array([np.array(x, dtype=np.int16).tobytes() for x in found], type=pa.binary())  # n_features is less than 2**15
+            yield pa.RecordBatch.from_arrays([batch.column("label"), packed], names=["label", "found"])
+
+    # rows that have the same features and label count together; their features come as bytes, which take little of the driver's memory
+    told = sample.mapInArrow(released(marked), "label int, found binary").groupBy("label", "found").agg(F.count("*").alias("n")).orderBy("label", "found").toArrow()
+    x = np.zeros((told.num_rows, len(names)), dtype=np.float32)
+    for i, found in enumerate(told.column("found")):
+        x[i, np.frombuffer(found.as_buffer(), dtype=np.int16)] = 1.0
+    y = (told.column("label").to_numpy() == 1).astype(float)
+    weights, bias = lasso_logistic(x, y, penalty, times=told.column("n").to_numpy().astype(float))
+    del x, told
+    give_back()
     return Toxicity(model, {name: float(w) for name, w in zip(names, weights) if w}, bias)
 
 
