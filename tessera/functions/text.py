@@ -2,8 +2,16 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words that carry no content.
-STOPWORDS = "the a an and or of to in on for with by at from is are was were be been this that these those it its as not no but".split()
+#: Words without content for the support of claims.
+STOPWORDS = (
+    "the a an and or of for to in on with is are this that as by at from it its be can "
+    "relevant supporting evidence source interest given using why matches match technology one sentence do not add"
+).split()
+#: Stems of legal and chemical wording, which no lay query has.
+JARGON = (
+    "derivativ", "substitut", "compositio", "heteroaryl", "bicyclic", "pyrazolo", "pyrimidin", "ionizable", "encapsulat", "endosomal",
+    "method of", "disclosed", "comprising", "wherein", "embodiment",
+)
 
 
 def terms(text: Column) -> Column:
@@ -28,6 +36,22 @@ def content_terms(text: Column) -> Column:
     return F.array_except(words, F.array(*map(F.lit, STOPWORDS)))
 
 
+def plain_title_words(title: Column) -> Column:
+    """Lower-case words of a title, of four letters and hyphens at least, that are no jargon."""
+    words = F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"[A-Za-z][A-Za-z\-]{3,}"), F.lit(0))
+    return F.transform(F.filter(words, lambda w: ~w.rlike("(?i)" + "|".join(JARGON))), lambda w: F.lower(w))
+
+
+def norm_query(query: Column) -> Column:
+    """One space between words, and neither spaces nor quotation marks at the ends."""
+    return strip(F.btrim(strip(F.regexp_replace(F.coalesce(query, F.lit("")), r"\s+", " ")), F.lit('"')))
+
+
+def instructed(query: Column, task: str) -> Column:
+    """A query as an instructed encoder sees it; documents go without the prefix."""
+    return F.concat(F.lit(f"Instruct: {task}\nQuery: "), query)
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")

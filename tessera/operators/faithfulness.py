@@ -14,10 +14,18 @@ def support(claim: Column, evidence: Column, context: Column) -> Column:
     return F.when(F.size(own) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(own, ground)) / F.size(own))
 
 
-def judge(claims: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """claims (claim_id, claim, citation, evidence, context) with support, grounded, bad_citations and flagged."""
+def with_evidence(claims: DataFrame, docs: DataFrame) -> DataFrame:
+    """claims (doc_id, ...) with the evidence of their documents (doc_id, evidence); of an unknown document the empty text."""
+    return claims.join(docs.groupBy("doc_id").agg(F.max("evidence").alias("evidence")), "doc_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit("")))
+
+
+def judge(claims: DataFrame, threshold: float = 0.5, support_of=support) -> DataFrame:
+    """claims (claim_id, claim, citation, evidence, context) with support, grounded, bad_citations and flagged.
+
+    ``support_of`` may be any function of the columns (claim, evidence, context) that gives 0 to 1.
+    """
     bad = F.filter(urls(F.col("claim")), lambda u: ~u.eqNullSafe(F.col("citation")))
-    out = claims.select("claim_id", F.round(support(F.col("claim"), F.col("evidence"), F.col("context")), 6).alias("support"), F.size(bad).alias("bad_citations"))
+    out = claims.select("claim_id", F.round(support_of(F.col("claim"), F.col("evidence"), F.col("context")), 6).alias("support"), F.size(bad).alias("bad_citations"))
     return out.select("claim_id", "support", (F.col("support") >= threshold).alias("grounded"), "bad_citations", ((F.col("support") < threshold) | (F.col("bad_citations") > 0)).alias("flagged"))
 
 

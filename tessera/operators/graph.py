@@ -4,17 +4,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import entity_key
+
 NODE_TYPES = ["technology", "inventor", "organization", "expert", "facility"]
 RELATIONS = ["invented_by", "assigned_to", "investigated_by", "located_at", "affiliated_with"]
 
 
 def nodes(parts: dict[str, DataFrame]) -> DataFrame:
-    """(node_id, ntype, label) of (key, label) by type; the least label of a key stays."""
+    """(node_id, ntype, label) of (key, label) by type; of a key the label seen first stays, in the order of ``ord`` if there is one, else the least."""
+    every = None
+    for ntype, rows in parts.items():
+        ordinal = F.col("ord") if "ord" in rows.columns else F.lit(0).cast("long")
+        one = rows.select(F.concat(F.lit(ntype + ":"), F.col("key")).alias("node_id"), F.lit(ntype).alias("ntype"), "label", ordinal.alias("ord"))
+        every = one if every is None else every.unionByName(one)
+    return every.groupBy("node_id", "ntype").agg(F.min_by("label", F.struct("ord", "label")).alias("label"))
+
+
+def from_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node_id, ntype, label, doc_id) and (src, dst, rel) of records (doc_id, title, inventors, organizations, experts, facilities).
+
+    A technology is known by its document; it is labelled by the title, or else
+    the doc_id. Others are known by ``entity_key`` of their name and keep the
+    name that the least doc_id gives, the first in its list. Each inventor is
+    affiliated with each organization of the document.
+    """
+    ids = F.col("doc_id").cast("string")
+    named = {"inventor": "inventors", "organization": "organizations", "expert": "experts", "facility": "facilities"}
+    parts = {"technology": docs.select(ids.alias("key"), F.coalesce(F.nullif("title", F.lit("")), ids).alias("label"))}
+    lists = {}
+    for ntype, column in named.items():
+        lists[ntype] = docs.select(ids.alias("doc_id"), F.posexplode(column).alias("pos", "label")).withColumn("key", entity_key(F.col("label")))
+        parts[ntype] = lists[ntype].select("key", "label", F.struct("doc_id", "pos").alias("ord"))
     every = None
     for ntype, rows in parts.items():
-        one = rows.select(F.concat(F.lit(ntype + ":"), F.col("key")).alias("node_id"), F.lit(ntype).alias("ntype"), "label")
+        ordinal = F.col("ord") if "ord" in rows.columns else F.struct(F.col("key").alias("doc_id"), F.lit(0).alias("pos"))
+        doc = F.col("key") if ntype == "technology" else F.lit(None).cast("string")
+        one = rows.select(F.concat(F.lit(ntype + ":"), "key").alias("node_id"), F.lit(ntype).alias("ntype"), "label", doc.alias("doc_id"), ordinal.alias("ord"))
         every = one if every is None else every.unionByName(one)
-    return every.groupBy("node_id", "ntype").agg(F.min("label").alias("label"))
+    node_rows = every.groupBy("node_id", "ntype").agg(F.min_by("label", F.struct("ord", "label")).alias("label"), F.min("doc_id").alias("doc_id"))
+    # pairs within a document, by its own lists: nothing is joined
+    keys = F.transform("inventors", lambda x: entity_key(x)), F.transform("organizations", lambda x: entity_key(x))
+    pairs = docs.select(F.explode(F.array_distinct(keys[0])).alias("s"), F.array_distinct(keys[1]).alias("o")).select("s", F.explode("o").alias("d"))
+    told = [(rows.select(F.col("doc_id").alias("s"), F.col("key").alias("d")), "technology", ntype, rel) for ntype, rows, rel in (
+        ("inventor", lists["inventor"], "invented_by"), ("organization", lists["organization"], "assigned_to"),
+        ("expert", lists["expert"], "investigated_by"), ("facility", lists["facility"], "located_at"))]
+    return node_rows, edges([*told, (pairs, "inventor", "organization", "affiliated_with")])
 
 
 def edges(parts: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
@@ -50,13 +84,24 @@ def isolates(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the cluster's spark.checkpoint.dir, or in a folder of our own where the session names none."""
+    """df in the cluster's spark.checkpoint.dir; where a session on one machine names none, as in tests, in a folder of our own."""
     spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tessera")
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or "/tmp/checkpoints/tessera")
     return df.checkpoint(eager=True)
 
 
+def known_edges(edge_rows: DataFrame, node_rows: DataFrame, relations: list[str] = RELATIONS) -> DataFrame:
+    """The edges of these relations whose ends are both nodes."""
+    ids = node_rows.select("node_id").distinct()
+    kept = edge_rows.filter(F.col("rel").isin(relations))
+    return kept.join(ids.withColumnRenamed("node_id", "src"), "src", "left_semi").join(ids.withColumnRenamed("node_id", "dst"), "dst", "left_semi").select("src", "dst", "rel")
+
+
 def connected_components(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """(node_id, component): the least node that edges lead to, either way; labels also jump to their label's label."""
     both = edge_rows.select("src", "dst").unionByName(edge_rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -77,19 +122,29 @@ def drawn(*parts) -> F.Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
-def split_edges(edge_rows: DataFrame, val: float = 0.1, test: float = 0.1, seed: int = 13) -> DataFrame:
-    """(src, dst, rel, part): exactly floor(n * share) test and validation edges.
+def prefix(rows: DataFrame, key: list[str], order: list[str], weight) -> DataFrame:
+    """rows with upto: the sum of weight over the rows before, in this order, of the same key.
 
-    The order is that of a hash. Counts by the hash's first two digits say
-    which few buckets hold a boundary, so places are found bucket by bucket.
+    Rows are dealt by ranges of (key, order) and summed range by range; only
+    the ranges' totals, a row a range and key, come together.
     """
-    rows = edge_rows.withColumn("h", drawn(F.lit(str(seed)), "src", "rel", "dst")).withColumn("b", F.substring("h", 1, 2))
-    sizes = rows.groupBy("b").agg(F.count("*").alias("c"))
-    sizes = sizes.select("b", (F.sum("c").over(Window.orderBy("b")) - F.col("c")).alias("before"), F.sum("c").over(Window.partitionBy()).alias("n"))  # 256 rows
-    place = F.row_number().over(Window.partitionBy("b").orderBy("h", "src", "rel", "dst")) + F.col("before")
-    n_test, n_val = F.floor(F.col("n") * F.lit(test)), F.floor(F.col("n") * F.lit(val))
-    part = F.when(F.col("at") <= n_test, "test").when(F.col("at") <= n_test + n_val, "val").otherwise("train")
-    return rows.join(F.broadcast(sizes), "b").withColumn("at", place).select("src", "dst", "rel", part.alias("part"))
+    dealt = rows.withColumn("__weight", weight.cast("long")).repartitionByRange(*key, *order)
+    dealt = checkpointed(dealt.withColumn("__range", F.spark_partition_id()))
+    totals = dealt.groupBy("__range", *key).agg(F.sum("__weight").alias("t"))
+    before = F.sum("t").over(Window.partitionBy(*key).orderBy("__range")) - F.col("t")
+    totals = totals.select("__range", *key, before.alias("__before"))
+    own = F.sum("__weight").over(Window.partitionBy("__range", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    out = dealt.join(F.broadcast(totals), ["__range", *key]).withColumn("upto", F.coalesce(own, F.lit(0)) + F.col("__before"))
+    return out.drop("__range", "__weight", "__before")
+
+
+def split_edges(edge_rows: DataFrame, val: float = 0.1, test: float = 0.1, seed: int = 13) -> DataFrame:
+    """(src, dst, rel, part): exactly floor(n * share) test and validation edges, the first ones by a hash."""
+    rows = edge_rows.withColumn("h", drawn(F.lit(str(seed)), "src", "rel", "dst"))
+    n = rows.count()
+    at, n_test, n_val = F.col("upto") + 1, F.lit(int(n * test)), F.lit(int(n * val))
+    part = F.when(at <= n_test, "test").when(at <= n_test + n_val, "val").otherwise("train")
+    return prefix(rows, [], ["h", "src", "rel", "dst"], F.lit(1)).select("src", "dst", "rel", part.alias("part"))
 
 
 def negatives(positive: DataFrame, left: DataFrame, right: DataFrame, tries: int = 3, seed: int = 17) -> DataFrame:
@@ -109,13 +164,14 @@ def negatives(positive: DataFrame, left: DataFrame, right: DataFrame, tries: int
 
 
 def relational_mean(edge_rows: DataFrame, features: DataFrame) -> DataFrame:
-    """(node_id, dim, value): the sum over relations of the mean of the out-neighbours' features.
+    """(node_id, dim, value) of every node and dimension of features: the sum over relations of the mean of the out-neighbours' features; 0 without any.
 
     features: (node_id, dim, value).
     """
     near = edge_rows.join(features.withColumnRenamed("node_id", "dst"), "dst")
     means = near.groupBy(F.col("src").alias("node_id"), "rel", "dim").agg(F.avg("value").alias("m"))
-    return means.groupBy("node_id", "dim").agg(F.round(F.sum("m"), 9).alias("value"))
+    every = means.select("node_id", "dim", "m").unionByName(features.select("node_id", "dim", F.lit(0.0).alias("m")))
+    return every.groupBy("node_id", "dim").agg(F.round(F.sum("m"), 9).alias("value"))
 
 
 def propagate(edge_rows: DataFrame, features: DataFrame, steps: int = 2) -> DataFrame:
@@ -129,10 +185,48 @@ def propagate(edge_rows: DataFrame, features: DataFrame, steps: int = 2) -> Data
     return h
 
 
+def ranking_negatives(positive: DataFrame, candidates: DataFrame, real: DataFrame, wanted: int = 50, tries: int = 2, seed: int = 23) -> DataFrame:
+    """(pid, src, dst): for each positive up to ``wanted`` drawn ends that make no edge with its src.
+
+    positive: (pid, src, dst); candidates: (i, node_id), numbered from 0; real:
+    (src, dst) of all edges. ``tries`` times as many are drawn at once, and of
+    those that are no edge the first in order of drawing stay; an end may be
+    drawn twice.
+    """
+    n = max(1, candidates.count())
+    rows = positive.select("pid", "src").withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(wanted * tries - 1))))
+    pick = F.conv(F.substring(drawn(F.lit(str(seed)), "pid", F.col("try").cast("string")), 1, 8), 16, 10).cast("long") % n
+    ends = rows.withColumn("i", pick).join(candidates.select("i", F.col("node_id").alias("dst")), "i").filter("src <> dst")
+    free = ends.join(real.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("pid").orderBy("try"))
+    return free.withColumn("nth", nth).filter(F.col("nth") <= wanted).select("pid", "src", "dst")
+
+
 def hits_and_mrr(positive: DataFrame, negative: DataFrame, k: int = 10) -> DataFrame:
-    """(n, hits, mrr): rank of each positive's score among its own negatives, ties in its favour.
+    """(n, hits, mrr): rank of each positive's score among its own negatives, ties in its favour; without positives n is 0 and the others null.
 
     positive: (pid, score); negative: (pid, score).
     """
     above = positive.join(negative.withColumnRenamed("score", "other"), "pid", "left").groupBy("pid", "score").agg(F.count_if(F.col("other") > F.col("score")).alias("better"))
     return above.agg(F.count("*").alias("n"), F.round(F.avg((F.col("better") < k).cast("double")), 6).alias("hits"), F.round(F.avg(F.lit(1.0) / (F.col("better") + 1)), 6).alias("mrr"))
+
+
+def inner(x: str, y: str):
+    """The inner product of two arrays, in double precision."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, p: s + p)
+
+
+def link_prediction(vectors: DataFrame, positive: DataFrame, negative: DataFrame, ranked: DataFrame, k: int = 10) -> DataFrame:
+    """(n, auc, hits, mrr) of held-out edges: by inner products of their ends' vectors.
+
+    vectors: (node_id, v); positive: (pid, src, dst); negative: (src, dst), for
+    the AUC; ranked: (pid, src, dst), the ends that each positive is held against.
+    """
+    from .evaluation import roc_auc
+
+    a, b = (vectors.select(F.col("node_id").alias(end), F.col("v").alias(name)) for end, name in (("src", "x"), ("dst", "y")))
+    scored = lambda rows: rows.join(a, "src").join(b, "dst").withColumn("score", F.round(inner("x", "y"), 6)).drop("x", "y")
+    own = scored(positive)
+    both = own.select("score", F.lit(True).alias("is_pos")).unionByName(scored(negative).select("score", F.lit(False).alias("is_pos")))
+    ranks = hits_and_mrr(own.select("pid", "score"), scored(ranked).select("pid", "score"), k)
+    return roc_auc(both).select("auc").join(F.broadcast(ranks), F.lit(True)).select("n", "auc", "hits", "mrr")  # one row each

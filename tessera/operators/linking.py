@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.text import surface_key
 
 LINKABLE = ["organization", "inventor", "expert", "facility"]
-#: Words that never stand for an entity alone.
-GENERIC = "the of and for university institute center centre hospital medical inc corp llc company group national research technology".split()
+#: Words too general to stand for an entity alone.
+GENERIC = "university medical center institute inc corp llc ltd company co the of and school college hospital labs laboratory laboratories".split()
 
 
 def surfaces(nodes: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def surfaces(nodes: DataFrame) -> DataFrame:
 
     A word counts if it is not generic, has three characters at least and is no full name.
     """
-    names = nodes.filter(F.col("ntype").isin(LINKABLE)).select(surface_key(F.col("label")).alias("surface"), "node_id").filter("surface <> ''").distinct()
+    names = nodes.filter(F.col("ntype").isin(LINKABLE)).select(surface_key(F.coalesce(F.nullif("label", F.lit("")), F.expr("substring(node_id, instr(node_id, ':') + 1)"))).alias("surface"), "node_id").filter("surface <> ''").distinct()
     words = names.select(F.explode(F.array_distinct(F.split("surface", " "))).alias("word"), "node_id").filter(~F.col("word").isin(GENERIC) & (F.length("word") >= 3))
     alone = words.groupBy("word").agg(F.min("node_id").alias("low"), F.max("node_id").alias("high")).filter("low = high").select(F.col("word").alias("surface"), F.col("low").alias("node_id"))
     return names.unionByName(alone.join(names.select("surface").distinct(), "surface", "left_anti"))

@@ -92,7 +92,18 @@ def embedding_text(title: Column, abstract: Column, keywords: Column, organizati
 
 
 def normalized(raw: dict[str, DataFrame], least: int = 20) -> DataFrame:
-    """Documents of all given sources, in FIELDS and embedding_text; short abstracts are dropped, and of equal ids one stays."""
+    """Documents of all given sources, in FIELDS and embedding_text; short abstracts are dropped.
+
+    Of equal ids one record stays, the greatest by date and then by all its fields.
+    """
     parts = [PARSERS[s](raw[s]) for s in PARSERS if s in raw]
-    docs = reduce(DataFrame.unionByName, parts).filter(F.length(strip(F.col("abstract"))) >= least).dropDuplicates(["doc_id"])
+    docs = reduce(DataFrame.unionByName, parts).filter(F.length(strip(F.col("abstract"))) >= least)
+    docs = docs.groupBy("doc_id").agg(F.max(F.struct("retrieved_date", *(f for f in FIELDS if f not in ("doc_id", "retrieved_date")))).alias("r")).select("doc_id", "r.*").select(FIELDS)
     return docs.withColumn("embedding_text", embedding_text(F.col("title"), F.col("abstract"), F.col("keywords"), F.col("organizations"), F.col("cpc_codes")))
+
+
+def dropped(raw: dict[str, DataFrame], least: int = 20) -> DataFrame:
+    """(source, n, n_short): records by source, and those whose abstract is too short."""
+    parts = [PARSERS[s](raw[s]).select("source", "abstract") for s in PARSERS if s in raw]
+    short = F.length(strip(F.col("abstract"))) < least
+    return reduce(DataFrame.unionByName, parts).groupBy("source").agg(F.count("*").alias("n"), F.count_if(short).alias("n_short"))

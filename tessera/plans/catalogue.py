@@ -1,12 +1,15 @@
 """Queries by name over the driver's tables, and the SQL that gives the same."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import evaluation, faithfulness, fusion, graph, keyword, linking, normalize, querygen, vectors
-from ..sources.tables import table
+from ..operators.graph import checkpointed
+from ..sources.tables import manifest, table, total_bytes
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -45,7 +48,9 @@ def tokenize_stats(spark, d):
 @query(f"WITH {TOKENS} SELECT (SELECT count(*) FROM documents)::BIGINT AS n, (SELECT round(avg(len(w)), 6) FROM tok) AS avgdl, (SELECT count(DISTINCT term) FROM tf)::BIGINT AS n_terms")
 def corpus_stats(spark, d):
     rows = docs(spark, d)
-    return keyword.corpus_stats(rows).select("n", F.round("avgdl", 6).alias("avgdl")).crossJoin(F.broadcast(keyword.term_frequency(rows).agg(F.countDistinct("term").alias("n_terms"))))  # one row each
+    index = keyword.build(rows)
+    stats = spark.createDataFrame([(index.n, index.avgdl)], "n long, avgdl double").select("n", F.round("avgdl", 6).alias("avgdl"))
+    return stats.join(F.broadcast(index.postings.agg(F.countDistinct("term").alias("n_terms"))), F.lit(True))  # one row each
 
 
 @query(f"WITH {TOKENS}, n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*)::BIGINT AS df, round(ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 6) AS idf FROM tf, n GROUP BY term, n")
@@ -67,7 +72,9 @@ FUSED = f"""{BM25}, {OVER}, u AS (SELECT qid, doc_id, rank, score, 'k' AS s FROM
  fr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM fs)"""
 HYBRID = f"""{FUSED}, hy AS (SELECT fr.*, source, lang, substr(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), 1, 160) AS snippet FROM fr JOIN documents USING (doc_id) WHERE rank <= 10)"""
 GATED = f"""{HYBRID}, g AS (SELECT qid, count(*) FILTER (length(snippet) > 0)::BIGINT AS n_kept, coalesce(max(text_score) FILTER (length(snippet) > 0), 0) AS top FROM hy GROUP BY qid),
- gr AS (SELECT qid, n_kept, round(greatest(0, least(1, top)), 4) AS confidence, CASE WHEN n_kept = 0 THEN 'no usable evidence' WHEN top < 0.35 THEN printf('top score %.2f is below the gate 0.35', top) END AS refusal FROM g)"""
+ gc AS (SELECT qid, n_kept, round(greatest(0, least(1, top)), 4) AS confidence, ((round(greatest(0, least(1, top)), 4) * 10000)::BIGINT + 50) // 100 AS h FROM g),
+ gr AS (SELECT qid, n_kept, confidence, CASE WHEN n_kept = 0 THEN '{fusion.NOTHING}' WHEN confidence < 0.35
+  THEN 'Top confidence ' || (h // 100) || '.' || lpad((h % 100)::VARCHAR, 2, '0') || ' below threshold 0.35; flagged for human review rather than asserted.' END AS refusal FROM gc)"""
 
 
 @query(f"WITH {BM25} SELECT qid, doc_id, score, rank::INT AS rank FROM br WHERE rank <= 10")
@@ -77,8 +84,7 @@ def bm25_topk(spark, d):
 
 @query(f"WITH {FUSED} SELECT qid, doc_id, score, keyword_score, text_score, rank::INT AS rank FROM fr WHERE rank <= 50")
 def rrf_fusion(spark, d):
-    rows, q = docs(spark, d), asked(spark, d)
-    return fusion.fuse({"keyword": keyword.bm25(rows, q), "text": fusion.overlap(rows, q)})
+    return fusion.fuse(fusion.signals(docs(spark, d), asked(spark, d)))
 
 
 @query(f"WITH {HYBRID} SELECT qid, doc_id, score, keyword_score, text_score, rank::INT AS rank, source, lang, snippet FROM hy")
@@ -91,10 +97,38 @@ def policy_gate(spark, d):
     return fusion.gated(fusion.hybrid(docs(spark, d), asked(spark, d)))
 
 
-@query(f"""WITH {GATED} SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY (lang <> 'en')::INT, score DESC, doc_id)::INT AS place, doc_id, score,
- 'Document from ' || source || ': ' || regexp_replace(substr(snippet, 1, 80), '\\s+$', '') AS why FROM hy JOIN gr USING (qid) WHERE refusal IS NULL AND length(snippet) > 0""")
+def backed(spark, d):
+    """Documents as evidence: the first line is the title, the source of an English one its backer; every seventh has no address."""
+    url = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("https://example.org/doc/"), F.col("doc_id").cast("string"))).otherwise(F.lit(""))
+    none = F.array().cast("array<string>")
+    return docs(spark, d).select(
+        "doc_id", "text", "source", querygen.title_of(F.col("text")).alias("title"), F.when(F.col("lang") == "en", F.array("source")).otherwise(none).alias("organizations"), url.alias("source_url")
+    )
+
+
+EVIDENCE = f"""{HYBRID}, ev AS (SELECT hy.*, CASE WHEN lang = 'en' THEN [source] ELSE [] END AS organizations, regexp_replace(string_split(coalesce(text, ''), chr(10))[1], '^\\s+|\\s+$', '', 'g') AS title, coalesce(text, '') AS body,
+  CASE WHEN doc_id % 7 <> 0 THEN 'https://example.org/doc/' || doc_id ELSE '' END AS url FROM hy JOIN (SELECT doc_id, text FROM documents) USING (doc_id)),
+ g AS (SELECT qid, count(*) FILTER (length(snippet) > 0 AND url <> '')::BIGINT AS n_kept, coalesce(max(text_score) FILTER (length(snippet) > 0 AND url <> ''), 0) AS top, count(*) FILTER (len(organizations) = 0)::BIGINT AS gaps FROM ev GROUP BY qid),
+ {GATED[GATED.index(" gc AS (") :]}, rq AS (SELECT item_id AS qid, text AS query FROM benchmark),
+ rc AS (SELECT ev.*, row_number() OVER (PARTITION BY qid ORDER BY (len(organizations) = 0)::INT, score DESC, doc_id)::INT AS place, 'Relevant to ' || chr(39) || query || chr(39) || ': ' || title || ' from ' || coalesce(organizations[1], '{fusion.NO_BACKER}')
+  || '. Supporting evidence: "' || regexp_replace(snippet, '\\s+$', '') || '..." [source: ' || url || ']' AS why, query FROM ev JOIN gr USING (qid) JOIN rq USING (qid) WHERE refusal IS NULL AND length(snippet) > 0 AND url <> '')"""
+
+
+@query(f"""WITH {EVIDENCE} SELECT qid, place, doc_id, title, why, url AS citation, round(greatest(0, least(1, text_score)), 4) AS confidence, source, len(organizations) = 0 AS expertise_gap FROM rc""")
 def recommendations(spark, d):
-    return fusion.recommend(fusion.hybrid(docs(spark, d), asked(spark, d)))
+    out = recommended(spark, d).select("qid", F.explode("recommendations").alias("r"))
+    return out.select("qid", *(f"r.{c}" for c in ("place", "doc_id", "title", "why", "citation", "confidence")), "r.provenance.source", "r.expertise_gap")
+
+
+@query(f"""WITH {EVIDENCE}, nr AS (SELECT qid, count(*) AS c FROM rc GROUP BY qid) SELECT qid, coalesce(confidence, 0) AS overall_confidence, CASE WHEN n_kept IS NULL THEN '{fusion.NOTHING}' ELSE refusal END AS refusal,
+ coalesce(gaps, 0)::BIGINT AS num_expertise_gaps, coalesce(c, 0)::INT AS n_recommendations FROM rq LEFT JOIN (SELECT qid, n_kept, confidence, refusal FROM gr) USING (qid) LEFT JOIN (SELECT qid, gaps FROM g) USING (qid) LEFT JOIN nr USING (qid)""")
+def recommendation_results(spark, d):
+    return recommended(spark, d).select("qid", "overall_confidence", "refusal", "num_expertise_gaps", F.size("recommendations").alias("n_recommendations"))
+
+
+def recommended(spark, d):
+    q = asked(spark, d)
+    return fusion.recommend(fusion.hybrid(backed(spark, d), q), q)
 
 
 def stored_vectors(spark, d):
@@ -147,9 +181,14 @@ def measured(spark, d, dim):
     return evaluation.ir_metrics(vectors.dense_topk(v, q, 50, dim), relevant)
 
 
-def paired(spark, d):
-    base = evaluation.long_form(measured(spark, d, 32)).withColumnRenamed("value", "base")
-    return base.join(evaluation.long_form(measured(spark, d, 64)).withColumnRenamed("value", "cand"), ["qid", "metric"])
+#: Systems in the order of comparison: the dimensions that they use.
+SYSTEMS = (16, 32, 64)
+
+
+def systems(spark, d):
+    """(ix, system, qid, metric, value)."""
+    parts = [evaluation.long_form(measured(spark, d, dim)).select(F.lit(i).alias("ix"), F.lit(f"d{dim}").alias("system"), "qid", "metric", "value") for i, dim in enumerate(SYSTEMS)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(f"WITH {BOTH} SELECT * FROM ma")
@@ -162,21 +201,35 @@ def mean_metrics(spark, d):
     return evaluation.long_form(measured(spark, d, 64)).groupBy("metric").agg(F.round(F.avg("value"), 6).alias("mean"))
 
 
-PAIRED = f"""{BOTH}, la AS ({LONG.format('ma')}), lb AS ({LONG.format('mb')}), p AS (SELECT metric, qid, round(la.value - lb.value, 6) AS dd FROM la JOIN lb USING (metric, qid)),
+RUNS = ", ".join(f"{dense(f's{dim}', dim, 50)}, {metrics_sql(f's{dim}', f'm{dim}')}" for dim in SYSTEMS)
+LONGS = " UNION ALL ".join(f"SELECT {i} AS ix, 'd{dim}' AS system, * FROM ({LONG.format(f'm{dim}')})" for i, dim in enumerate(SYSTEMS))
+PAIRED = f"""RECURSIVE dp AS (SELECT 0 AS m, [1.0::DOUBLE] AS ways UNION ALL SELECT m + 1, list_transform(range(0, len(ways) + m + 1), lambda i: coalesce(ways[i + 1], 0) + CASE WHEN i > m THEN coalesce(ways[i - m], 0) ELSE 0 END) FROM dp WHERE m < 50),
+ xt AS (SELECT m, w, least(1.0, 2 * list_sum(ways[1:w + 1]) / pow(2.0, m)) AS exact FROM (SELECT m, ways, unnest(range(0, m * (m + 1) // 4 + 1)) AS w FROM dp WHERE m > 0)),
+ {RELEVANT}, {RUNS}, ls AS ({LONGS}),
+ p AS (SELECT b.system || '|' || a.system || '|' || a.metric AS metric, a.qid, round(a.value - b.value, 6) AS dd FROM ls a JOIN ls b ON a.ix = b.ix + 1 AND a.qid = b.qid AND a.metric = b.metric),
  lv AS (SELECT metric, dd, rank() OVER (PARTITION BY metric ORDER BY abs(dd)) + (count(*) OVER (PARTITION BY metric, abs(dd)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY metric, abs(dd)) AS ties FROM p WHERE dd <> 0),
  sr AS (SELECT metric, count(*) AS m, coalesce(sum(rk) FILTER (dd > 0), 0) AS wp, coalesce(sum(rk) FILTER (dd < 0), 0) AS wn, sum(ties * ties - 1) AS tt FROM lv GROUP BY metric),
  al AS (SELECT metric, count(*) AS n, round(avg(dd), 6) AS delta FROM p GROUP BY metric),
- sg AS (SELECT metric, n::BIGINT AS n, delta, coalesce(least(wp, wn), 0)::DOUBLE AS w, coalesce(round(CASE WHEN m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - tt / 48.0::DOUBLE > 0 THEN (least(wp, wn) - m * (m + 1) / 4.0::DOUBLE) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - tt / 48.0::DOUBLE) END, 6), 0) AS z FROM al LEFT JOIN sr USING (metric))"""
+ sz AS (SELECT al.metric, n, m, delta, tt, least(wp, wn) AS w, CASE WHEN m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - tt / 48.0::DOUBLE > 0 THEN (least(wp, wn) - m * (m + 1) / 4.0::DOUBLE) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - tt / 48.0::DOUBLE) END AS z FROM al LEFT JOIN sr USING (metric)),
+ st AS (SELECT *, 1.0::DOUBLE / (1.0::DOUBLE + 0.2316419::DOUBLE * abs(z)) AS t FROM sz),
+ sg AS (SELECT metric, n::BIGINT AS n, delta, coalesce(st.w, 0)::DOUBLE AS w, coalesce(round(z, 6), 0) AS z, round(CASE WHEN z IS NULL THEN 1 ELSE coalesce(CASE WHEN tt = 0 AND st.m = n THEN exact END,
+  2 * 0.3989422804014327::DOUBLE * exp(-z * z / 2) * t * (0.319381530::DOUBLE + t * (-0.356563782::DOUBLE + t * (1.781477937::DOUBLE + t * (-1.821255978::DOUBLE + t * 1.330274429::DOUBLE))))) END, 6) AS p
+  FROM st LEFT JOIN xt ON xt.m = st.m AND xt.w = st.w)"""
 
 
 @query(f"WITH {PAIRED} SELECT * FROM sg")
 def wilcoxon_signed_rank(spark, d):
-    return evaluation.signed_rank(paired(spark, d))
+    return evaluation.signed_rank(evaluation.marginal_pairs(systems(spark, d)))
 
 
-@query(f"WITH {PAIRED} SELECT metric, delta, z, CASE WHEN abs(z) > 1.959963984540054 AND delta > 0 THEN 'helps' WHEN abs(z) > 1.959963984540054 AND delta < 0 THEN 'hurts' ELSE 'no significant difference' END AS verdict FROM sg")
+@query(f"""WITH {PAIRED}, nb AS (SELECT metric, dd, row_number() OVER (PARTITION BY metric ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM p),
+ dn AS (SELECT DISTINCT n FROM nb), dr AS (SELECT n, b, ('0x' || substr(md5('7:' || b || ':' || j), 1, 8))::BIGINT % n AS i FROM dn, (SELECT unnest(range(0, 1000)) AS b) bb, LATERAL (SELECT unnest(range(0, n)) AS j) jj),
+ ms AS (SELECT metric, b, sum(dd) / any_value(nb.n) AS m FROM nb JOIN dr ON nb.n = dr.n AND nb.i = dr.i GROUP BY metric, b),
+ iv AS (SELECT metric, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM ms GROUP BY metric)
+SELECT metric, n, delta, lo, hi, w, z, p, CASE WHEN p < 0.05 AND delta > 0 THEN 'helps' WHEN p < 0.05 AND delta < 0 THEN 'hurts' ELSE 'no significant difference' END AS verdict FROM sg JOIN iv USING (metric)""")
 def ab_verdict(spark, d):
-    return evaluation.signed_rank(paired(spark, d)).select("metric", "delta", "z", evaluation.verdict(F.col("delta"), F.col("z")).alias("verdict"))
+    told = evaluation.paired_delta(evaluation.marginal_pairs(checkpointed(systems(spark, d))))
+    return told.withColumn("verdict", evaluation.verdict(F.col("delta"), F.col("p")))
 
 
 @query(f"""WITH {BOTH}, l AS ({LONG.format('ma')}), nb AS (SELECT metric, value, row_number() OVER (PARTITION BY metric ORDER BY qid) - 1 AS i, count(*) OVER (PARTITION BY metric) AS n FROM l),
@@ -195,6 +248,48 @@ def ranking_agreement(spark, d):
     return evaluation.agreement(vectors.dense_topk(v, q, 10, 64), vectors.dense_topk(v, q, 10, 32))
 
 
+@query(f"""WITH {", ".join(dense(f"s{dim}", dim, 10) for dim in (64, 48, 32))}, ru AS ({" UNION ALL ".join(f"SELECT {i} AS run, qid, doc_id, rank FROM s{dim}" for i, dim in enumerate((64, 48, 32)))}),
+ li AS (SELECT run, qid, list(doc_id ORDER BY rank) AS l FROM ru GROUP BY run, qid), pr AS (SELECT a.qid, a.run AS ra, b.run AS rb, a.l AS x, b.l AS y FROM li a JOIN li b ON a.qid = b.qid AND a.run < b.run),
+ sh AS (SELECT a.qid, a.run AS ra, b.run AS rb, a.rank AS p, b.rank AS q FROM ru a JOIN ru b ON a.qid = b.qid AND a.doc_id = b.doc_id AND a.run < b.run),
+ ta AS (SELECT x.qid, x.ra, x.rb, sum(sign((x.p - y.p) * (x.q - y.q))) / any_value(c * (c - 1))::DOUBLE AS t FROM sh x JOIN sh y USING (qid, ra, rb) JOIN (SELECT qid, ra, rb, count(*) AS c FROM sh GROUP BY ALL) USING (qid, ra, rb) WHERE c > 1 GROUP BY x.qid, x.ra, x.rb)
+SELECT qid, round(avg(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE), 6) AS mean_jaccard, round(coalesce(avg(t), 1), 6) AS mean_kendall_tau, round(avg((x = y)::INT::DOUBLE), 6) AS exact_order_match_rate
+FROM pr LEFT JOIN ta USING (qid, ra, rb) GROUP BY qid""")
+def stability_retrieval(spark, d):
+    v, q = stored_vectors(spark, d), vector_queries(spark, d)
+    runs = [vectors.dense_topk(v, q, 10, dim).select(F.lit(i).alias("run"), "qid", "doc_id", "rank") for i, dim in enumerate((64, 48, 32))]
+    return evaluation.retrieval_stability(checkpointed(reduce(DataFrame.unionByName, runs)))
+
+
+@query("SELECT unnest([1, 8, 32])::INT AS batch, (SELECT count(*) FROM benchmark)::BIGINT AS n, 0.0::DOUBLE AS max_cosine_drift, 0.0::DOUBLE AS max_difference, true AS exact")
+def stability_embedding(spark, d):
+    return evaluation.encoding_stability(table(spark, d, "benchmark").select("text"), lambda size: vectors.encoder("mock", dim=128, batch=size).queries)
+
+
+@query(f"""WITH {EVIDENCE}, an AS (SELECT count(DISTINCT qid) AS a FROM rc), rn AS (SELECT count(*) AS n FROM rq)
+SELECT n::BIGINT AS n, a::BIGINT AS answered, round(1 - a / n::DOUBLE, 6) AS refusal_rate, 1.0::DOUBLE AS exact_match_rate, 1.0::DOUBLE AS mean_semantic_equivalence, 1.0::DOUBLE AS citation_set_jaccard,
+ CASE WHEN a > 0 THEN 1.0::DOUBLE END AS citation_validity FROM an, rn""")
+def stability_explanation(spark, d):
+    """Two runs of the same pipeline."""
+    out = []
+    for run in range(2):
+        told = recommended(spark, d).select("qid", F.explode_outer("recommendations").alias("r")).select(F.lit(run).alias("run"), "qid", "r.why", "r.citation", "r.doc_id", "r.place")
+        out.append(told)
+    told = checkpointed(reduce(DataFrame.unionByName, out))
+    prose = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("why").isNotNull(), F.struct("place", "why")))), lambda x: x["why"]), "\n")
+    runs = told.groupBy("run", "qid").agg(prose.alias("prose"), F.collect_set("citation").alias("citations"))
+    runs = checkpointed(runs.withColumn("vector", vectors.encoder("mock", dim=128).documents(F.col("prose"))))
+    judged = faithfulness.judge(the_claims(spark, d, told.withColumn("claim_id", F.concat_ws(":", "run", "qid", "doc_id"))))
+    claims_ = judged.select(F.split("claim_id", ":")[0].cast("int").alias("run"), F.split("claim_id", ":")[1].cast("long").alias("qid"), "grounded", "bad_citations")
+    return evaluation.explanation_stability(runs, claims_).drop("grounded", "hallucination")
+
+
+def the_claims(spark, d, told):
+    """(claim_id, claim, citation, evidence, context) of what was recommended: its document is the evidence, the query the context."""
+    evidence = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("evidence"))
+    said = told.filter("why IS NOT NULL").join(asked(spark, d), "qid").select("claim_id", "doc_id", F.col("why").alias("claim"), "citation", F.col("query").alias("context"))
+    return faithfulness.with_evidence(said, evidence)
+
+
 @query("""WITH s AS (SELECT n_chars::DOUBLE AS score, quality = 1 AS pos FROM labels JOIN documents USING (doc_id)), r AS (SELECT pos, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS rk FROM s)
 SELECT (count(*) FILTER (pos))::BIGINT AS n_pos, (count(*) FILTER (NOT pos))::BIGINT AS n_neg, round((sum(rk) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0::DOUBLE) / (count(*) FILTER (pos) * (count(*) FILTER (NOT pos))::DOUBLE), 6) AS auc FROM r""")
 def roc_auc_quality(spark, d):
@@ -251,14 +346,23 @@ def degree_topk(spark, d):
     return graph.degrees(the_edges(spark, d)).orderBy(F.desc("degree"), "node_id").limit(3)
 
 
-@query(f"WITH {DEGREES} SELECT node_id FROM nd WHERE node_id NOT IN (SELECT node_id FROM dg)")
+PLACES = f"{GRAPH}, pl AS (SELECT src, dst FROM ed WHERE rel = 'located_at')"
+
+
+def places(spark, d):
+    """The edges from organizations to where they are: what has none is isolated."""
+    return the_edges(spark, d).filter("rel = 'located_at'")
+
+
+@query(f"WITH {PLACES} SELECT node_id FROM nd WHERE node_id NOT IN (SELECT src FROM pl UNION ALL SELECT dst FROM pl)")
 def isolates(spark, d):
-    return graph.isolates(the_nodes(spark, d), the_edges(spark, d))
+    return graph.isolates(the_nodes(spark, d), places(spark, d))
 
 
-@query()
+@query(f"""WITH {PLACES}, gp AS (SELECT dst, least(dst, min(src)) AS c FROM pl GROUP BY dst) SELECT node_id, coalesce(a.c, b.c, node_id) AS component
+ FROM nd LEFT JOIN gp a ON a.dst = node_id LEFT JOIN pl ON pl.src = node_id LEFT JOIN gp b ON b.dst = pl.dst""")
 def connected_components(spark, d):
-    return graph.connected_components(the_nodes(spark, d), the_edges(spark, d))
+    return graph.connected_components(the_nodes(spark, d), places(spark, d))
 
 
 @query(f"""WITH {GRAPH}, o AS (SELECT *, row_number() OVER (ORDER BY md5('13|' || src || '|' || rel || '|' || dst), src, rel, dst) AS i, count(*) OVER () AS n FROM ed)
@@ -289,35 +393,134 @@ FEATURES = "ft AS (SELECT node_id, dim, round(((('0x' || substr(md5(node_id || '
 
 
 def features(spark, d):
+    return hashed(the_nodes(spark, d))
+
+
+def hashed(nodes):
     """Four numbers a node, by hash."""
-    rows = the_nodes(spark, d).select("node_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("dim"))
+    rows = nodes.select("node_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("dim"))
     value = F.conv(F.substring(F.md5(F.concat_ws("|", "node_id", F.col("dim").cast("string"))), 1, 6), 16, 10).cast("long") % 1000
     return rows.withColumn("value", F.round(value / F.lit(1000.0), 3))
 
 
-@query(f"WITH {GRAPH}, {FEATURES}, m AS (SELECT src AS node_id, rel, dim, avg(value) AS m FROM ed JOIN ft ON dst = ft.node_id GROUP BY ALL) SELECT node_id, dim::INT AS dim, round(sum(m), 9) AS value FROM m GROUP BY node_id, dim")
+@query(f"WITH {GRAPH}, {FEATURES}, m AS (SELECT src AS node_id, rel, dim, avg(value) AS m FROM ed JOIN ft ON dst = ft.node_id GROUP BY ALL UNION ALL SELECT node_id, '', dim, 0 FROM ft) SELECT node_id, dim::INT AS dim, round(sum(m), 9) AS value FROM m GROUP BY node_id, dim")
 def relational_mean_agg(spark, d):
     return graph.relational_mean(the_edges(spark, d), features(spark, d))
 
 
-@query()
+@query(f"""WITH {GRAPH}, {FEATURES}, be AS (SELECT * FROM ed UNION ALL SELECT dst, src, rel || '^-1' FROM ed), h0 AS (SELECT node_id, dim, value FROM ft),
+ n0 AS (SELECT e.src AS node_id, e.rel, h.dim, avg(h.value) AS m FROM be e JOIN h0 h ON e.dst = h.node_id GROUP BY ALL), r0 AS (SELECT node_id, dim, round(sum(m), 9) AS value FROM n0 GROUP BY ALL),
+ u0 AS (SELECT node_id, dim, h.value + coalesce(r.value, 0) AS value FROM h0 h LEFT JOIN r0 r USING (node_id, dim)), h1 AS (SELECT node_id, dim, value / (sqrt(sum(value * value) OVER (PARTITION BY node_id)) + 1e-9) AS value FROM u0),
+ n1 AS (SELECT e.src AS node_id, e.rel, h.dim, avg(h.value) AS m FROM be e JOIN h1 h ON e.dst = h.node_id GROUP BY ALL), r1 AS (SELECT node_id, dim, round(sum(m), 9) AS value FROM n1 GROUP BY ALL),
+ u1 AS (SELECT node_id, dim, h.value + coalesce(r.value, 0) AS value FROM h1 h LEFT JOIN r1 r USING (node_id, dim)), h2 AS (SELECT node_id, dim, value / (sqrt(sum(value * value) OVER (PARTITION BY node_id)) + 1e-9) AS value FROM u1)
+SELECT node_id, dim::INT AS dim, round(value, 6) AS value FROM h2""")
 def relational_propagation(spark, d):
     return graph.propagate(the_edges(spark, d), features(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@query(f"""WITH {NEGATIVE}, {FEATURES}, e AS (SELECT node_id, list(value ORDER BY dim) AS v FROM ft GROUP BY node_id),
- p AS (SELECT src, dst, round(list_dot_product(a.v, b.v), 6) AS score FROM ps JOIN e a ON a.node_id = src JOIN e b ON b.node_id = dst), n AS (SELECT src, round(list_dot_product(a.v, b.v), 6) AS score FROM ng JOIN e a ON a.node_id = src JOIN e b ON b.node_id = dst),
- r AS (SELECT p.src, p.dst, count(*) FILTER (n.score > p.score) AS better FROM p LEFT JOIN n USING (src) GROUP BY p.src, p.dst)
-SELECT count(*)::BIGINT AS n, round(avg((better < 3)::INT::DOUBLE), 6) AS hits, round(avg(1.0::DOUBLE / (better + 1)), 6) AS mrr FROM r""")
+@query(f"""WITH {NEGATIVE}, {FEATURES}, e AS (SELECT node_id, list(value ORDER BY dim) AS v FROM ft GROUP BY node_id), o AS (SELECT *, row_number() OVER (ORDER BY md5('13|' || src || '|' || rel || '|' || dst), src, rel, dst) AS i, count(*) OVER () AS n FROM ed),
+ te AS (SELECT src || '|' || dst AS pid, src, dst FROM o WHERE i <= floor(n * 0.1::DOUBLE) AND rel = 'assigned_to'),
+ p AS (SELECT pid, src, round(list_dot_product(a.v, b.v), 6) AS score FROM te JOIN e a ON a.node_id = src JOIN e b ON b.node_id = dst), n AS (SELECT round(list_dot_product(a.v, b.v), 6) AS score FROM ng JOIN e a ON a.node_id = src JOIN e b ON b.node_id = dst),
+ dr AS (SELECT pid, src, try, ('0x' || substr(md5('23|' || pid || '|' || try), 1, 8))::BIGINT % (SELECT count(*) FROM rt) AS i FROM te, (SELECT unnest(range(0, 100)) AS try) t),
+ fr AS (SELECT pid, src, rt.node_id AS dst, row_number() OVER (PARTITION BY pid ORDER BY try) AS nth FROM dr JOIN rt USING (i) WHERE NOT EXISTS (SELECT 1 FROM ps WHERE ps.src = dr.src AND ps.dst = rt.node_id)),
+ ns AS (SELECT pid, round(list_dot_product(a.v, b.v), 6) AS score FROM fr JOIN e a ON a.node_id = src JOIN e b ON b.node_id = dst WHERE nth <= 50),
+ r AS (SELECT p.pid, count(*) FILTER (ns.score > p.score) AS better FROM p LEFT JOIN ns USING (pid) GROUP BY p.pid),
+ al AS (SELECT score, true AS pos FROM p UNION ALL SELECT score, false FROM n), rk AS (SELECT pos, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS k FROM al)
+SELECT count(*)::BIGINT AS n, (SELECT round((sum(k) FILTER (pos) - count(*) FILTER (pos) * (count(*) FILTER (pos) + 1) / 2.0::DOUBLE) / (count(*) FILTER (pos) * (count(*) FILTER (NOT pos))::DOUBLE), 6) FROM rk) AS auc,
+ round(avg((better < 10)::INT::DOUBLE), 6) AS hits, round(avg(1.0::DOUBLE / (better + 1)), 6) AS mrr FROM r""")
 def link_prediction(spark, d):
-    own = features(spark, d).groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v"))
-    a, b = own.select(F.col("node_id").alias("src"), F.col("v").alias("x")), own.select(F.col("node_id").alias("dst"), F.col("v").alias("y"))
-    score = F.round(F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)
-    scored = lambda rows: rows.join(a, "src").join(b, "dst").withColumn("score", score)
-    positive = scored(the_edges(spark, d).filter("rel = 'assigned_to'").select("src", "dst")).select(F.concat_ws("|", "src", "dst").alias("pid"), "src", "score")
-    negative = scored(negative_samples(spark, d)).select("src", F.col("score").alias("n_score"))
-    pairs = positive.select("pid", "src").join(negative, "src").select("pid", F.col("n_score").alias("score"))
-    return graph.hits_and_mrr(positive.select("pid", "score"), pairs, 3)
+    """The test edges from technologies to organizations, by the nodes' features."""
+    edges = checkpointed(the_edges(spark, d))
+    real = edges.filter("rel = 'assigned_to'").select("src", "dst")
+    held = graph.split_edges(edges).filter("part = 'test' AND rel = 'assigned_to'").select(F.concat_ws("|", "src", "dst").alias("pid"), "src", "dst")
+    ends = numbered(table(spark, d, "supplier"), "s_suppkey", "organization")
+    ranked = graph.ranking_negatives(held, ends, real)
+    return graph.link_prediction(arrays(features(spark, d)), held, negative_samples(spark, d), ranked)
+
+
+def arrays(rows):
+    """(node_id, v) of (node_id, dim, value)."""
+    return rows.groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("dim", "value"))), lambda x: x["value"]).alias("v"))
+
+
+# ---- the graph of documents, and retrieval by it: orders as records of a customer, suppliers, a priority and a nation
+
+ORDERED = """rec AS (SELECT o_orderkey::VARCHAR AS doc_id, CASE WHEN o_orderstatus = 'F' THEN 'Order ' || o_orderkey ELSE '' END AS title, CASE WHEN o_orderkey % 2 = 0 THEN upper(c_name) ELSE c_name END AS inventor, o_orderpriority AS expert, n_name AS facility
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey), og AS (SELECT DISTINCT l_orderkey::VARCHAR AS doc_id, s_name AS organization FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+ lb AS (SELECT 'inventor' AS t, inventor AS label, doc_id FROM rec UNION ALL SELECT 'expert', expert, doc_id FROM rec UNION ALL SELECT 'facility', facility, doc_id FROM rec UNION ALL SELECT 'organization', organization, doc_id FROM og JOIN rec USING (doc_id)),
+ ek AS (SELECT t, label, doc_id, t || ':' || trim(regexp_replace(regexp_replace(lower(label), '[^\\w\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS node_id FROM lb)"""
+
+
+def ordered(spark, d):
+    """(doc_id, title, inventors, organizations, experts, facilities) of every order; a name may be written in two ways."""
+    orders = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    sold = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_set("s_name")).alias("organizations"))
+    key = F.col("o_orderkey").cast("string")
+    rows = orders.join(sold, "o_orderkey", "left")
+    return rows.select(
+        key.alias("doc_id"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Order "), key)).otherwise(F.lit("")).alias("title"),
+        F.array(F.when(F.col("o_orderkey") % 2 == 0, F.upper("c_name")).otherwise(F.col("c_name"))).alias("inventors"),
+        F.coalesce("organizations", F.array().cast("array<string>")).alias("organizations"), F.array("o_orderpriority").alias("experts"), F.array("n_name").alias("facilities"),
+    )
+
+
+@query(f"""WITH {ORDERED} SELECT 'technology:' || doc_id AS node_id, 'technology' AS ntype, coalesce(nullif(title, ''), doc_id) AS label, doc_id FROM rec
+ UNION ALL SELECT node_id, t, arg_min(label, doc_id), NULL FROM ek GROUP BY node_id, t""")
+def document_graph_nodes(spark, d):
+    return graph.from_documents(ordered(spark, d))[0]
+
+
+@query(f"""WITH {ORDERED}, e1 AS (SELECT doc_id, t, node_id FROM ek) SELECT DISTINCT 'technology:' || doc_id AS src, node_id AS dst,
+ CASE t WHEN 'inventor' THEN 'invented_by' WHEN 'organization' THEN 'assigned_to' WHEN 'expert' THEN 'investigated_by' ELSE 'located_at' END AS rel FROM e1
+ UNION SELECT a.node_id, b.node_id, 'affiliated_with' FROM e1 a JOIN e1 b USING (doc_id) WHERE a.t = 'inventor' AND b.t = 'organization'""")
+def document_graph_edges(spark, d):
+    return graph.from_documents(ordered(spark, d))[1]
+
+
+@query(f"""WITH {GRAPH}, kn AS (SELECT node_id FROM nd WHERE ntype <> 'inventor') SELECT * FROM ed WHERE rel IN ('assigned_to', 'invented_by') AND src IN (SELECT node_id FROM kn) AND dst IN (SELECT node_id FROM kn)""")
+def known_edges(spark, d):
+    return graph.known_edges(the_edges(spark, d), the_nodes(spark, d).filter("ntype <> 'inventor'"), ["assigned_to", "invented_by"])
+
+
+NAMED = "gq AS (SELECT item_id, text || CASE WHEN item_id % 3 = 0 THEN '' ELSE ' at src' || (item_id % 20) END AS text FROM benchmark)"
+LINKED = """lk AS (SELECT DISTINCT qid, 'organization:' || tok AS node_id FROM (SELECT item_id AS qid, unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) AS tok FROM gq) WHERE tok IN (SELECT lower(source) FROM documents))"""
+GRAPHED = f"""{LINKED}, dn0 AS (SELECT 'technology:' || doc_id AS node_id, doc_id FROM documents), nn AS (SELECT node_id, doc_id FROM dn0 UNION ALL SELECT DISTINCT 'organization:' || lower(source), NULL FROM documents),
+ vx AS (SELECT node_id, doc_id, dim, round(((('0x' || substr(md5(node_id || '|' || dim), 1, 6))::BIGINT % 1000) / 1000.0::DOUBLE), 3) AS value FROM nn, (SELECT unnest(range(0, 4)) AS dim) dd),
+ ce AS (SELECT qid, dim, avg(value) AS x FROM lk JOIN vx USING (node_id) GROUP BY qid, dim), cu AS (SELECT qid, dim, x / (sqrt(sum(x * x) OVER (PARTITION BY qid)) + 1e-9) AS x FROM ce),
+ gs AS (SELECT qid, doc_id, round(sum(x * value), 6) AS score FROM cu JOIN vx USING (dim) WHERE doc_id IS NOT NULL GROUP BY qid, doc_id), gk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM gs)"""
+
+
+def named_queries(spark, d):
+    """The benchmark's texts, two of three with the name of a source."""
+    name = F.when(F.col("qid") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(" at src"), (F.col("qid") % 20).cast("string")))
+    return asked(spark, d).withColumn("query", F.concat("query", name))
+
+
+def source_graph(spark, d):
+    """(surfaces, vectors, nodes) of a graph of documents and their sources; four numbers a node by hash stand for learnt vectors."""
+    none = F.array().cast("array<string>")
+    rows = docs(spark, d).select("doc_id", F.lit("").alias("title"), none.alias("inventors"), F.array("source").alias("organizations"), none.alias("experts"), none.alias("facilities"))
+    nodes = checkpointed(graph.from_documents(rows)[0].withColumn("doc_id", F.col("doc_id").cast("long")))
+    return linking.surfaces(nodes), checkpointed(arrays(hashed(nodes))), nodes
+
+
+@query(f"WITH {NAMED}, {GRAPHED} SELECT qid, doc_id, score, rank::INT AS rank FROM gk WHERE rank <= 10")
+def graph_topk(spark, d):
+    surfaces, v, nodes = source_graph(spark, d)
+    return fusion.graph_search(linking.link(named_queries(spark, d), surfaces), v, nodes, 10)
+
+
+@query(f"WITH {NAMED}, {LINKED} SELECT (SELECT count(*) FROM gq)::BIGINT AS n, count(DISTINCT qid)::BIGINT AS fired, round(count(DISTINCT qid) / (SELECT count(*) FROM gq)::DOUBLE, 6) AS rate FROM lk")
+def graph_fire_rate(spark, d):
+    q = named_queries(spark, d)
+    return fusion.fire_rate(q, linking.link(q, source_graph(spark, d)[0]))
+
+
+@query(f"""WITH {NAMED}, {FUSED.replace("FROM benchmark", "FROM gq").replace(" UNION ALL SELECT qid, doc_id, rank, score, 't'", " UNION ALL SELECT qid, doc_id, rank, score, 'g' FROM gk WHERE rank <= 50 UNION ALL SELECT qid, doc_id, rank, score, 't'").replace(f", u AS (", f", {GRAPHED}, u AS (").replace(" FROM u GROUP BY qid, doc_id)", ", round(coalesce(max(CASE WHEN s = 'g' THEN score END), 0), 6) AS graph_score FROM u GROUP BY qid, doc_id)")}
+SELECT qid, doc_id, score, keyword_score, text_score, graph_score, rank::INT AS rank, source, qid IN (SELECT qid FROM lk) AS graph_linked FROM fr JOIN documents USING (doc_id) WHERE rank <= 10""")
+def hybrid_with_graph(spark, d):
+    out = fusion.hybrid(docs(spark, d), named_queries(spark, d), graph=source_graph(spark, d))
+    return out.select("qid", "doc_id", "score", "keyword_score", "text_score", "graph_score", "rank", "source", "graph_linked")
 
 
 # ---- entities, records, citations, synthetic queries
@@ -332,7 +535,13 @@ def surface_index(spark, d):
     return linking.surfaces(the_nodes(spark, d))
 
 
-@query()
+ASKED = """aq AS (SELECT s_suppkey AS qid, string_split(trim(regexp_replace(regexp_replace(lower('Work of ' || s_name || ' in ' || n_name), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS w FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+ sp AS (SELECT qid, i, n, array_to_string(w[i:i + n - 1], ' ') AS surface FROM (SELECT qid, w, unnest(range(1, len(w) + 1)) AS i FROM aq), (SELECT unnest(range(1, 5)) AS n) nn WHERE i + n - 1 <= len(w)),
+ bs AS (SELECT qid, i, max(n) AS n FROM sp WHERE surface IN (SELECT surface FROM sf) GROUP BY qid, i),
+ wk AS (SELECT qid, 1 AS i, 0 AS n FROM aq UNION ALL SELECT wk.qid, CASE WHEN b.n IS NULL THEN wk.i + 1 ELSE wk.i + b.n END, coalesce(b.n, 0) FROM wk JOIN aq USING (qid) LEFT JOIN bs b ON b.qid = wk.qid AND b.i = wk.i WHERE wk.i <= len(w))"""
+
+
+@query(f"WITH RECURSIVE {GRAPH}, {SURFACE}, {ASKED} SELECT DISTINCT wk.qid, sf.node_id FROM wk JOIN sp ON sp.qid = wk.qid AND sp.i = wk.i - wk.n AND sp.n = wk.n JOIN sf USING (surface)")
 def entity_link(spark, d):
     asked_ = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     queries = asked_.select(F.col("s_suppkey").alias("qid"), F.concat(F.lit("Work of "), F.col("s_name"), F.lit(" in "), F.col("n_name")).alias("query"))
@@ -395,23 +604,104 @@ def lexical_support(spark, d):
     return faithfulness.judge(claims(spark, d))
 
 
-@query(f"WITH {CLAIMS} SELECT count(*)::BIGINT AS n, round(coalesce(avg((bad_citations = 0)::INT::DOUBLE), 1), 6) AS citation_validity, round(coalesce(avg(grounded::INT::DOUBLE), 1), 6) AS groundedness, round(coalesce(avg(flagged::INT::DOUBLE), 0), 6) AS hallucination FROM jj")
+@query(f"""WITH {EVIDENCE}, cm AS (SELECT why, url, body, query, {CONTENT.format('why')} AS own, list_concat({CONTENT.format('body')}, {CONTENT.format('query')}) AS ground FROM rc),
+ jd AS (SELECT round(CASE WHEN len(own) = 0 THEN 1 ELSE len(list_filter(own, lambda t: list_contains(ground, t))) / len(own)::DOUBLE END, 6) AS support, len(list_filter(regexp_extract_all(why, 'https?://[^\\s\\])"]+'), lambda u: u <> url)) AS bad FROM cm)
+SELECT count(*)::BIGINT AS n, round(coalesce(avg((bad = 0)::INT::DOUBLE), 1), 6) AS citation_validity, round(coalesce(avg((support >= 0.5)::INT::DOUBLE), 1), 6) AS groundedness, round(coalesce(avg((support < 0.5 OR bad > 0)::INT::DOUBLE), 0), 6) AS hallucination FROM jd""")
 def faithfulness_rates(spark, d):
-    return faithfulness.rates(faithfulness.judge(claims(spark, d)))
+    """Of what is recommended: each claim against its document and its citation."""
+    told = recommended(spark, d).select("qid", F.explode("recommendations").alias("r")).select("qid", "r.*")
+    return faithfulness.rates(faithfulness.judge(the_claims(spark, d, told.withColumn("claim_id", F.concat_ws(":", "qid", "doc_id")))))
 
 
 FRAME = "[" + ", ".join(f"'{f}'" for f in querygen.FRAMES) + "]"
 
 
-@query(f"""WITH n AS (SELECT count(*) AS n FROM documents), tk AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}')) AS w FROM documents),
- df AS (SELECT w, count(*) AS df FROM tk, n GROUP BY w, n HAVING count(*) BETWEEN 2 AND greatest(2, floor(n * 0.3::DOUBLE))), dr AS (SELECT doc_id FROM documents ORDER BY md5('11|' || doc_id), doc_id LIMIT 200),
- rr AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY df, w) AS r FROM tk JOIN df USING (w) JOIN dr USING (doc_id)),
- ws AS (SELECT doc_id, string_agg(w, ' ' ORDER BY r) AS q FROM rr WHERE r <= 5 GROUP BY doc_id HAVING count(*) >= 3)
-SELECT 'q' || doc_id AS query_id, replace({FRAME}[doc_id % 5 + 1], '{{}}', q) AS query, doc_id FROM ws""")
+@query(f"""WITH n AS (SELECT greatest(2, floor(count(*) * 0.3::DOUBLE)) AS most FROM documents), tk AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}')) AS w FROM documents),
+ df AS (SELECT w, count(*) AS df FROM tk GROUP BY w), dr AS (SELECT doc_id FROM documents ORDER BY md5('11|' || doc_id), doc_id LIMIT 200),
+ ra AS (SELECT doc_id, w, df, df BETWEEN 2 AND most AS strict, df <= most AS loose FROM tk JOIN df USING (w) JOIN dr USING (doc_id), n),
+ rb AS (SELECT *, count(*) FILTER (strict) OVER (PARTITION BY doc_id) AS ns, count(*) FILTER (loose) OVER (PARTITION BY doc_id) AS nl FROM ra),
+ rr AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY df, w) AS r FROM rb WHERE CASE WHEN ns >= 3 THEN strict WHEN nl > 0 THEN loose ELSE true END),
+ ws AS (SELECT doc_id, string_agg(w, ' ' ORDER BY r) AS q FROM rr WHERE r <= 5 GROUP BY doc_id)
+SELECT 'q' || doc_id AS query_id, trim(replace({FRAME}[doc_id % 5 + 1], '{{}}', coalesce(q, ''))) AS query, doc_id FROM dr LEFT JOIN ws USING (doc_id)""")
 def synthetic_eval_set(spark, d):
     return querygen.eval_set(docs(spark, d))
 
 
-@query()
+def picked(values: str, salt: str) -> str:
+    return f"({values})[(('0x' || substr(md5(doc_id || '|' || j || '|{salt}'), 1, 8))::BIGINT % len({values}))::INT + 1]"
+
+
+def texts_of(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+@query(f"""WITH {PARTS}, ti AS (SELECT doc_id, source, title, abstract, list_transform(list_filter(regexp_extract_all(title, '[A-Za-z][A-Za-z\\-]{{3,}}'), lambda w: NOT regexp_matches(w, '(?i){"|".join(t.JARGON)}')), lambda w: lower(w)) AS tw FROM pt),
+ kw AS (SELECT doc_id, source, title, CASE WHEN len(tw) > 0 THEN tw ELSE ['{querygen.NO_KEYWORD}'] END AS w FROM ti WHERE length(trim(title || ' ' || abstract, ' ' || chr(9) || chr(10) || chr(13))) >= 200), kj AS (SELECT *, unnest(range(0, 9)) AS j FROM kw),
+ qs AS (SELECT doc_id, source, title, j, replace(replace(replace({picked(texts_of(querygen.TEMPLATES), 't')}, '{{kw}}', {picked('w', 'kw')}), '{{ind}}', {picked(texts_of(querygen.INDICATIONS), 'ind')}), '{{mod}}', {picked(texts_of(querygen.MODALITIES), 'mod')}) AS query FROM kj),
+ ok AS (SELECT *, list_distinct(string_split(lower(query), ' ')) AS qw, list_distinct(regexp_split_to_array(lower(title), '\\s+')) AS tws FROM qs),
+ us AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(query) ORDER BY j) AS f FROM ok WHERE len(string_split(query, ' ')) BETWEEN 4 AND 40 AND (title = '' OR len(list_intersect(qw, tws)) / len(qw)::DOUBLE <= 0.8)),
+ nu AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS query_index FROM us WHERE f = 1)
+SELECT query, doc_id, source, 'https://example.org/doc/' || doc_id AS source_url, '2024-01-01' AS retrieved_date, 'mock' AS generator, '2024-01-02' AS generated_date, query_index::INT AS query_index FROM nu WHERE query_index < 3""")
 def query_templates(spark, d):
-    return querygen.templated(docs(spark, d).select("doc_id", querygen.title_of(F.col("text")).alias("title"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = parted(spark, d).select(
+        "doc_id", "source", "title", "abstract", F.lit(None).cast("string").alias("embedding_text"), F.array().cast("array<string>").alias("keywords"),
+        F.concat(F.lit("https://example.org/doc/"), F.col("doc_id").cast("string")).alias("source_url"), F.lit("2024-01-01").alias("retrieved_date"),
+    )
+    return querygen.templated(rows, generated="2024-01-02")
+
+
+# ---- raw records: every document as a record of each source
+
+PARSED = """SELECT 'clinicaltrials:NCT' || doc_id AS doc_id, 'clinicaltrials' AS source, CASE WHEN title <> '' THEN title ELSE 'Official ' || doc_id END AS title, abstract, '' AS inventors, source AS organizations, '' AS experts, lang AS facilities, '' AS cpc_codes, '' AS keywords, 'https://c/' || doc_id AS source_url FROM pt
+ UNION ALL SELECT 'uspto:' || doc_id, 'uspto', title, abstract, source || '|' || lang, lang, '', '', lang, source, '' FROM pt
+ UNION ALL SELECT 'openalex:W' || doc_id, 'openalex', title, array_to_string(list_filter(regexp_split_to_array(title, '\\s+'), lambda x: x <> ''), ' '), '', source, lang, '', '', source, 'https://openalex.org/W' || doc_id FROM pt
+ UNION ALL SELECT 'sbir:' || doc_id, 'sbir', title, abstract, '', source, lang, '', '', '', '' FROM pt
+ UNION ALL SELECT 'autm:' || doc_id, 'autm', title, abstract, lang, source, '', '', '', '', '' FROM pt"""
+
+
+def raw_records(spark, d):
+    """Every document in the raw form of each source; null and empty names are among the lists."""
+    rows = parted(spark, d).withColumn("key", F.col("doc_id").cast("string"))
+    none = F.lit(None).cast("string")
+    section = F.struct(
+        F.struct(F.concat(F.lit("NCT"), "key").alias("nctId"), F.col("title").alias("briefTitle"), F.concat(F.lit("Official "), "key").alias("officialTitle")).alias("identificationModule"),
+        F.struct(F.col("abstract").alias("briefSummary")).alias("descriptionModule"), F.struct(F.struct(F.col("source").alias("name")).alias("leadSponsor")).alias("sponsorCollaboratorsModule"),
+        F.struct(F.array(F.struct(F.col("lang").alias("facility")), F.struct(F.lit("").alias("facility"))).alias("locations")).alias("contactsLocationsModule"),
+    )
+    person = F.to_json(F.struct(F.col("source").alias("inventor_name_last")))
+    firm = F.to_json(F.struct(F.lit("").alias("assignee_organization"), F.col("lang").alias("name")))
+    words = F.filter(F.split("title", r"\s+"), lambda w: w != "")
+    index = F.map_from_entries(F.transform(F.array_distinct(words), lambda w: F.struct(w, F.filter(F.transform(words, lambda x, i: F.when(x == w, i)), lambda i: i.isNotNull()))))
+    place = F.struct(F.col("source").alias("display_name"))
+    return {
+        "clinicaltrials": rows.select(section.alias("protocolSection"), F.concat(F.lit("https://c/"), "key").alias("_source_url")),
+        "uspto": rows.select(
+            F.col("key").alias("patent_id"), F.col("title").alias("patent_title"), F.col("abstract").alias("patent_abstract"), F.array(person, "lang", F.lit("")).alias("inventors"),
+            F.array(firm).alias("assignees"), F.array("lang").alias("cpc_codes"), F.array("source", none).alias("pharma_keywords"),
+        ),
+        "openalex": rows.select(
+            F.concat(F.lit("https://openalex.org/W"), "key").alias("id"), "title", index.alias("abstract_inverted_index"),
+            F.array(F.struct(F.struct(F.col("lang").alias("display_name")).alias("author"), F.array(place, place).alias("institutions"))).alias("authorships"), F.array(place).alias("concepts"),
+        ),
+        "sbir": rows.select(F.col("key").alias("award_id"), F.col("title").alias("award_title"), "abstract", F.col("source").alias("firm"), F.col("lang").alias("pi_name")),
+        "autm": rows.select(F.col("key").alias("listing_id"), F.col("title").alias("tech_title"), F.col("abstract").alias("description"), F.col("source").alias("university"), F.array("lang", none).alias("inventors")),
+    }
+
+
+@query(f"WITH {PARTS} {PARSED}")
+def parsed_records(spark, d):
+    raw = raw_records(spark, d)
+    every = reduce(DataFrame.unionByName, [parse(raw[s]) for s, parse in normalize.PARSERS.items()])
+    lists = ("inventors", "organizations", "experts", "facilities", "cpc_codes", "keywords")
+    return every.select(*(F.array_join(f, "|").alias(f) if f in lists else F.col(f) for f in normalize.FIELDS if f != "retrieved_date"))
+
+
+@query(f"WITH {PARTS}, pr AS ({PARSED}) SELECT source, count(*)::BIGINT AS n, (count(*) FILTER (length(trim(abstract)) < 20))::BIGINT AS n_short FROM pr GROUP BY source")
+def records_by_source(spark, d):
+    return normalize.dropped(raw_records(spark, d))
+
+
+@query("SELECT count(*)::BIGINT AS n, coalesce(sum(n_chars), 0)::BIGINT AS bytes FROM documents")
+def manifest_bytes(spark, d):
+    files = table(spark, d, "documents").select("source", F.array(F.struct(F.array(F.struct(F.col("doc_id").cast("string").alias("name"), F.lit("").alias("uri"), F.col("n_chars").alias("size"))).alias("files"))).alias("bags"))
+    return total_bytes(manifest(files.withColumnRenamed("source", "product")))

@@ -52,16 +52,68 @@ def stamped(df: DataFrame, day: str) -> DataFrame:
     return df.withColumn("_retrieved_date", F.coalesce(have, F.lit(day)))
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    """JSON lines, keys sorted; replaces what is there."""
-    df.select(sorted(df.columns)).write.mode("overwrite").json(path)
+#: The one schema of records.
+DOCUMENT = T.StructType(
+    [T.StructField(f, T.StringType()) for f in ("doc_id", "source", "title", "abstract")]
+    + [T.StructField(f, STRINGS) for f in ("inventors", "organizations", "experts", "facilities", "cpc_codes", "keywords")]
+    + [T.StructField(f, T.StringType()) for f in ("source_url", "retrieved_date", "embedding_text")]
+    + [T.StructField("extra", T.MapType(T.StringType(), T.StringType()))]
+)
+NODES = T.StructType([T.StructField(f, T.StringType()) for f in ("node_id", "ntype", "label", "doc_id")])
+EDGES = T.StructType([T.StructField(f, T.StringType()) for f in ("src", "dst", "rel")])
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """JSON lines of a schema; blank lines are skipped, a line that does not parse raises."""
+    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+
+
+def read_docs(spark: SparkSession, path: str) -> DataFrame:
+    """Records in DOCUMENT; a field that it does not have, or a record without doc_id, raises when read."""
+    named = ", ".join(f"'{f.name}'" for f in DOCUMENT)
+    lines = spark.read.text(path).filter("trim(value) <> ''")
+    odd = F.expr(f"array_except(json_object_keys(value), array({named}))")
+    got = lines.select(F.from_json("value", DOCUMENT, {"mode": "FAILFAST"}).alias("d"), odd.alias("odd"))
+    good = F.when(F.coalesce(F.size("odd"), F.lit(1)) != 0, F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join("odd", ", "))))
+    good = good.when(F.col("d.doc_id").isNull(), F.raise_error(F.lit("a record without doc_id"))).otherwise(F.col("d"))
+    return got.select(good.alias("d")).select("d.*")
+
+
+def write_jsonl(df: DataFrame, path: str) -> int:
+    """JSON lines, keys sorted; replaces what is there. Gives the number of records."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    df.select(sorted(df.columns)).observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    return seen.get["n"]
 
 
 def read_qrels(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QRELS).json(path)
+    return read_jsonl(spark, path, QRELS)
+
+
+def write_qrels(queries: DataFrame, path: str) -> int:
+    """(query_id, query, relevant_doc_ids) as JSON lines; query_id as text."""
+    return write_jsonl(queries.select(F.col("query_id").cast("string").alias("query_id"), "query", F.col("relevant_doc_ids").cast(STRINGS).alias("relevant_doc_ids")), path)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, meta: DataFrame, folder: str) -> dict[str, int]:
+    """nodes, edges and the counts (kind, name, n) of a graph under a folder."""
+    have = [f.name for f in NODES if f.name in nodes.columns]
+    counts = {"nodes": write_jsonl(nodes.select(have), f"{folder}/nodes"), "edges": write_jsonl(edges.select(EDGES.names), f"{folder}/edges")}
+    meta.coalesce(1).write.mode("overwrite").json(f"{folder}/meta")  # a row a type and relation
+    return counts
+
+
+def read_graph(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return read_jsonl(spark, f"{folder}/nodes", NODES), read_jsonl(spark, f"{folder}/edges", EDGES)
+
+
+def manifest(products: DataFrame) -> DataFrame:
+    """(product, file, uri, bytes) of product records with bags of files; products: (product, bags: array<struct<files: array<struct<name, uri, size>>>>)."""
+    files = products.select("product", F.explode("bags").alias("b")).select("product", F.explode("b.files").alias("f"))
+    return files.select("product", F.col("f.name").alias("file"), F.col("f.uri").alias("uri"), F.coalesce(F.col("f.size").cast("long"), F.lit(0)).alias("bytes"))
 
 
-def save_index(postings: DataFrame, stats: DataFrame, folder: str) -> None:
-    """A keyword index: postings sorted by term within their files, and the documents' lengths."""
-    postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/postings")
-    stats.write.mode("overwrite").parquet(f"{folder}/stats")
+def total_bytes(files: DataFrame) -> DataFrame:
+    return files.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.coalesce("bytes", F.lit(0))), F.lit(0)).alias("bytes"))
