@@ -296,6 +296,9 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
     def written(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def count(kind: int):  # a second parameter of the inner function would be the place in the array
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{KIND_NAMES[kind]}")
+
     base = F.filter("spans", lambda s: s["base"])
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{KIND_NAMES[k]}") for k in range(4)]
+    counts = [count(kind) for kind in range(4)]
     return detect(documents(spark, sf_dir)).select("doc_id", *counts, F.sha2(written(base), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
