@@ -19,13 +19,27 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: Bytes of rows that go to a Python worker at a time; both sides hold them several times over.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH bytes, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().rstrip("b")
+    if not now.isdigit() or int(now) > BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of every row; a null text is the empty text."""
+    small_batches(df.sparkSession)
     return df.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
 
 
 def packed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, text): all columns of df as one struct, so that none can clash with an operator's own."""
+    small_batches(df.sparkSession)
     return df.select(F.struct(*(quoted(c) for c in df.columns)).alias("row"), quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, quoted, released, shared
+from .common import documents, quoted, released, shared, small_batches
 from .fitting import lasso_logistic
 
 #: As listed: the base kinds, then those of the method.
@@ -246,9 +246,7 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     """
     if keep is None:
         df, keep, text_col = df.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("__t")), ["doc_id"], "__t"
-    rows = shared(found(df, text_col, keep))
-    patterns = rows.select(F.explode("__spans").alias("s")).groupBy("s.kind", "s.votes", "s.flags").agg(F.count("*").alias("n")).collect()
-    accepted, _ = learnt(patterns)
+    rows, accepted = judged_spans(df, text_col, keep)
 
     def run(batches):
         for batch in batches:
@@ -260,6 +258,14 @@ def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     return own.mapInArrow(released(run), f"{schema}, spans array<struct<start:int,kind:int,end:int,base:boolean>>")
 
 
+def judged_spans(df: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame, dict[tuple[int, int], float]]:
+    """keep and __spans of every row, and what the classifier makes of (kind, flags)."""
+    small_batches(df.sparkSession)
+    rows = shared(found(df, text_col, keep))
+    patterns = rows.select(F.explode("__spans").alias("s")).groupBy("s.kind", "s.votes", "s.flags").agg(F.count("*").alias("n")).collect()
+    return rows, learnt(patterns)[0]
+
+
 def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """df with each detected span of the text replaced by its kind, as in ``[EMAIL]``; a null text stays null.
 
@@ -268,16 +274,16 @@ def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Dat
     """
     names = df.columns
     own = df.select(F.struct(*(quoted(c) for c in names)).alias("row"), quoted(text_col).alias("text"))
-    spans = detect(own, text_col="text", keep=["row"], threshold=threshold)
+    rows, accepted = judged_spans(own, "text", ["row"])
 
     def run(batches):
         for batch in batches:
             out = []
             row = batch.column("row")
-            for text, found_ in zip(row.field(names.index(text_col)).to_pylist(), batch.column("spans").to_pylist()):
+            for text, found_ in zip(row.field(names.index(text_col)).to_pylist(), batch.column("__spans").to_pylist()):
                 if text and found_:
                     parts, at = [], 0
-                    for s in sorted(found_, key=lambda s: (s["start"], -s["end"])):
+                    for s in sorted(resolved(found_, accepted, threshold), key=lambda s: (s["start"], -s["end"])):
                         if s["start"] >= at:
                             parts += [text[at : s["start"]], f"[{KIND_NAMES[s['kind']].upper()}]"]
                         at = max(at, s["end"])
@@ -286,7 +292,7 @@ def redact(df: DataFrame, text_col: str = "text", threshold: float = 0.5) -> Dat
             columns = [pa.array(out, type=pa.string()) if n == text_col else row.field(i) for i, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return spans.mapInArrow(released(run), df.schema)
+    return rows.mapInArrow(released(run), df.schema)
 
 
 def op6_pii(spark, sf_dir: str) -> DataFrame:

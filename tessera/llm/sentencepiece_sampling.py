@@ -66,10 +66,6 @@ class Vocabulary:
         for i, (piece, kind) in enumerate(pieces):
             if kind == 2:
                 self.byte[piece[0]] = i
-        used = sorted({b for i in normal for b in pieces[i][0]})
-        self.of_byte = np.zeros(256, dtype=np.int32)  # 0: in no piece
-        self.of_byte[used] = np.arange(1, len(used) + 1)
-        self.width = len(used) + 1
         children: list[dict[int, int]] = [{}]
         ends = {}
         for i in normal:
@@ -79,11 +75,12 @@ class Vocabulary:
                 if node == len(children):
                     children.append({})
             ends[node] = i
-        self.next = np.zeros((len(children), self.width), dtype=np.int32)
-        for node, to in enumerate(children):
-            if to:
-                self.next[node, self.of_byte[list(to)]] = list(to.values())
-        self.next = self.next.ravel()
+        # an edge of the trie is (node, byte): few enough to be searched faster than a table of all nodes and bytes is read
+        edges = sorted((node << 8 | b, to) for node, own in enumerate(children) if node for b, to in own.items())
+        self.edge, self.to = (np.array([e[i] for e in edges] or [0], dtype=np.int32) for i in (0, 1))
+        self.first = np.zeros(256, dtype=np.int32)  # from the root
+        for b, to in children[0].items():
+            self.first[b] = to
         self.piece = np.full(len(children), -1, dtype=np.int32)
         self.piece[list(ends)] = list(ends.values())
         plain = [p.replace(mark, b" ") if kind == 1 else p for p, kind in pieces]
@@ -92,6 +89,12 @@ class Vocabulary:
         self.offset = np.cumsum(self.length) - self.length
         self.known = Known()
 
+    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        """The nodes that bytes lead to from nodes other than the root; 0 for none."""
+        want = node << 8 | byte
+        at = np.minimum(np.searchsorted(self.edge, want), len(self.edge) - 1)
+        return np.where(self.edge[at] == want, self.to[at], 0)
+
 
 def vocabulary(pieces: list[tuple[bytes, int]], theta: float) -> Vocabulary:
     cache = worker_cache()
@@ -138,17 +141,16 @@ def lattice(vocab: Vocabulary, words: list[str]) -> tuple[np.ndarray, ...]:
     head = (data & 0xC0) != 0x80
     literal = np.fromiter((w == LITERAL for w in words), dtype=bool, count=len(words))[word]
     at = np.flatnonzero(head & ~literal)
-    code = vocab.of_byte[data]
     heads = np.flatnonzero(head)
     width = np.zeros(len(data), dtype=np.int64)
     width[heads] = np.diff(np.append(heads, len(data)))
     covered = np.zeros(len(data), dtype=bool)
-    node = np.zeros(len(at), dtype=np.int64)
+    node = np.zeros(len(at), dtype=np.int32)
     src, dst, piece = [], [], []
     length = 0
     while len(at):
-        c = code[at + length]
-        node = np.where(c > 0, vocab.next[node * vocab.width + c], 0)
+        byte = data[at + length]
+        node = vocab.step(node, byte.astype(np.int32)) if length else vocab.first[byte]
         length += 1
         alive = node > 0
         at, node = at[alive], node[alive]
