@@ -31,7 +31,7 @@ MARK = "▁"
 LITERAL = "mark " + MARK  # has a space, so no word of a text is equal to it
 CHUNK = 1 << 20
 #: Bytes of text that are segmented at a time, about: the paths of their words take some hundred times as many.
-SAMPLED = 1 << 19
+SAMPLED = 1 << 20
 
 
 def load_pieces(path: str = MODEL) -> list[tuple[bytes, int]]:
@@ -243,7 +243,7 @@ def shares(vocab: Vocabulary, src, dst, piece, first, size, of) -> np.ndarray:
 class Known:
     """The lattices of the words met last by this worker, at most ``most`` of them."""
 
-    def __init__(self, most: int = 100_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
         self.clear()
 
@@ -254,9 +254,10 @@ class Known:
 
     def get(self, vocab: Vocabulary, words: list[str]) -> tuple[np.ndarray, ...]:
         """The lattices, and the number of each of these words in them."""
-        if len(self.word) + sum(w not in self.word for w in words) > self.most:
-            self.clear()
         new = [w for w in words if w not in self.word]
+        if len(self.word) + len(new) > self.most:
+            self.clear()
+            new = words
         if new:
             src, piece, upto, into, first, last = self.held
             s, p, u, i, f, t = lattice(vocab, new)
