@@ -361,10 +361,18 @@ def isolates(spark, d):
 
 @query(f"""WITH {PLACES}, gp AS (SELECT dst, least(dst, min(src)) AS c FROM pl GROUP BY dst) SELECT node_id, coalesce(a.c, b.c, node_id) AS component
  FROM nd LEFT JOIN gp a ON a.dst = node_id LEFT JOIN pl ON pl.src = node_id LEFT JOIN gp b ON b.dst = pl.dst""")
-def connected_components(spark, d):
+def place_components(spark, d):
     return graph.connected_components(the_nodes(spark, d), places(spark, d))
 
 
+@query(f"""WITH RECURSIVE {GRAPH}, bo AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed),
+ cc(node_id, component) USING KEY (node_id) AS (SELECT node_id, node_id FROM nd
+ UNION SELECT bo.src, min(cc.component) FROM cc JOIN bo ON bo.dst = cc.node_id JOIN recurring.cc AS r ON r.node_id = bo.src GROUP BY bo.src, r.component HAVING min(cc.component) < r.component)
+ SELECT node_id, component FROM cc""")
+def connected_components(spark, d):
+    return graph.connected_components(the_nodes(spark, d), the_edges(spark, d))
+
+
 @query(f"""WITH {GRAPH}, o AS (SELECT *, row_number() OVER (ORDER BY md5('13|' || src || '|' || rel || '|' || dst), src, rel, dst) AS i, count(*) OVER () AS n FROM ed)
 SELECT src, dst, rel, CASE WHEN i <= floor(n * 0.1::DOUBLE) THEN 'test' WHEN i <= 2 * floor(n * 0.1::DOUBLE) THEN 'val' ELSE 'train' END AS part FROM o""")
 def edge_split(spark, d):
