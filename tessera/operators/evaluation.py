@@ -139,7 +139,11 @@ def roc_auc(scores: DataFrame) -> DataFrame:
 
     Ranks come from counts by distinct score, dealt by ranges of the score.
     """
-    by = scores.groupBy("score").agg(F.count_if("is_pos").alias("p"), F.count("*").alias("c"))
+    return auc_of(scores.groupBy("score").agg(F.count_if("is_pos").alias("p"), F.count("*").alias("c")))
+
+
+def auc_of(by: DataFrame) -> DataFrame:
+    """The same of (score, p, c): of each score how many are positive, and how many in all."""
     ranks = prefix(by, [], ["score"], F.col("c")).select("p", "c", ((F.col("upto") + (F.col("c") + 1) / F.lit(2.0)) * F.col("p")).alias("r"))
     out = ranks.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("c") - F.sum("p"), F.lit(0)).alias("n_neg"), F.sum("r").alias("r"))
     auc = (F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / F.lit(2.0)) / (F.col("n_pos") * F.col("n_neg").cast("double"))

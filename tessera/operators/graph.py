@@ -1,7 +1,14 @@
 """A typed graph: building, counting, components, splits, negatives, aggregation over neighbours."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import gc
+import hashlib
+from collections.abc import Iterator
+from uuid import uuid4
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_key
@@ -51,11 +58,16 @@ def from_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return node_rows, edges([*told, (pairs, "inventor", "organization", "affiliated_with")])
 
 
+def named(ntype: str, key: Column) -> Column:
+    """The node_id of a key."""
+    return F.concat(F.lit(ntype + ":"), key.cast("string"))
+
+
 def edges(parts: list[tuple[DataFrame, str, str, str]]) -> DataFrame:
     """Distinct (src, dst, rel) of (rows with s and d, type of s, type of d, relation)."""
     every = None
     for rows, s, d, rel in parts:
-        one = rows.select(F.concat(F.lit(s + ":"), F.col("s").cast("string")).alias("src"), F.concat(F.lit(d + ":"), F.col("d").cast("string")).alias("dst"), F.lit(rel).alias("rel"))
+        one = rows.select(named(s, F.col("s")).alias("src"), named(d, F.col("d")).alias("dst"), F.lit(rel).alias("rel"))
         every = one if every is None else every.unionByName(one)
     return every.distinct()
 
@@ -83,18 +95,45 @@ def isolates(node_rows: DataFrame, edge_rows: DataFrame) -> DataFrame:
     return node_rows.join(degrees(edge_rows), "node_id", "left_anti").select("node_id")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df in the cluster's spark.checkpoint.dir; where a session on one machine names none, as in tests, in a folder of our own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; where a session on one machine names none, as in tests, a folder of our own."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or "/tmp/checkpoints/tessera")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+class Store:
+    """Tables as Parquet in the shared folder: a small part of what a checkpoint takes. They go at the end of the ``with``."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{shared_folder(spark)}/{uuid4()}"
+
+    def __enter__(self) -> Store:
+        return self
+
+    def __exit__(self, *_) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read again. The shuffles behind it are of no more use; Spark removes their files once the driver has collected their plans, so this asks for it."""
+        df.write.parquet(f"{self.path}/{name}")
+        del df
+        gc.collect()
+        self.spark._jvm.System.gc()
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+
 def known_edges(edge_rows: DataFrame, node_rows: DataFrame, relations: list[str] = RELATIONS) -> DataFrame:
     """The edges of these relations whose ends are both nodes."""
     ids = node_rows.select("node_id").distinct()
@@ -230,3 +269,221 @@ def link_prediction(vectors: DataFrame, positive: DataFrame, negative: DataFrame
     both = own.select("score", F.lit(True).alias("is_pos")).unionByName(scored(negative).select("score", F.lit(False).alias("is_pos")))
     ranks = hits_and_mrr(own.select("pid", "score"), scored(ranked).select("pid", "score"), k)
     return roc_auc(both).select("auc").join(F.broadcast(ranks), F.lit(True)).select("n", "auc", "hits", "mrr")  # one row each
+
+
+def gathered(store: Store, parts: list[tuple[DataFrame, str, str, str]], seed: int = 13) -> list[tuple[DataFrame, str, str, str]]:
+    """The parts of ``edges`` with (s, near) in place of (s, d), stored: near has each d of s once, with b, the first 16 bits of the hash by which edges are split.
+
+    Keys are dealt and stored as they are: names are several times as long.
+    """
+    if len({rel for *_, rel in parts}) < len(parts):
+        raise ValueError("each relation in one part")
+    out = []
+    for k, (rows, s, d, rel) in enumerate(parts):
+        h = drawn(F.lit(str(seed)), named(s, F.col("s")), F.lit(rel), named(d, F.col("d")))
+        b = F.conv(F.substring(h, 1, 4), 16, 10).cast("int").alias("b")
+        pairs = rows.select("s", "d").repartition("s").distinct().select("s", F.struct("d", b).alias("e"))
+        out.append((store.keep(pairs.groupBy("s").agg(F.collect_list("e").alias("near")), str(k)), s, d, rel))
+    return out
+
+
+def first_edges(parts: list[tuple[DataFrame, str, str, str]], share: float = 0.1, seed: int = 13):
+    """Of gathered parts, the test edges of ``split_edges``, as a condition: a function of (src, rel, dst, b).
+
+    Edges are counted by b, 65,536 values at most; where the share ends in the
+    midst of a value, its edges are put in order. No edge is moved otherwise.
+    """
+    flat = [(rows.select("s", F.explode("near").alias("e")).select("s", "e.d", "e.b"), s, d, rel) for rows, s, d, rel in parts]
+    every = None
+    for rows, *_ in flat:
+        every = rows.select("b") if every is None else every.unionByName(rows.select("b"))
+    counts = sorted(map(tuple, every.groupBy("b").count().collect()))
+    left = int(sum(c for _, c in counts) * share)
+    if not left:
+        return lambda src, rel, dst, b: F.lit(False)
+    for at, c in counts:  # noqa: B007
+        if left <= c:
+            break
+        left -= c
+    tied = None
+    for rows, s, d, rel in flat:
+        one = rows.filter(F.col("b") == at).select(named(s, F.col("s")).alias("src"), F.lit(rel).alias("rel"), named(d, F.col("d")).alias("dst"))
+        tied = one if tied is None else tied.unionByName(one)
+    order = lambda src, rel, dst: F.struct(drawn(F.lit(str(seed)), src, rel, dst).alias("h"), src.alias("src"), rel.alias("rel"), dst.alias("dst"))
+    last = tied.select(order(F.col("src"), F.col("rel"), F.col("dst")).alias("o")).orderBy("o").offset(left - 1).limit(1).first()["o"]
+    last = F.struct(*(F.lit(x).cast("string").alias(name) for name, x in last.asDict().items()))
+    return lambda src, rel, dst, b: (b < at) | ((b == at) & (order(src, rel, dst) <= last))
+
+
+def places_in(have: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The place of each x in have, which is sorted and has none twice; -1 where it is not."""
+    if not len(have):
+        return np.full(x.shape, -1)
+    at = np.minimum(np.searchsorted(have, x), len(have) - 1)
+    return np.where(have[at] == x, at, -1)
+
+
+def first_words(texts: list[bytes]) -> np.ndarray:
+    """The first 32 bits of each text's md5."""
+    md5 = hashlib.md5
+    return np.frombuffer(b"".join([md5(x).digest()[:4] for x in texts]), dtype=">u4").astype(np.int64)
+
+
+def millionths(x: np.ndarray) -> np.ndarray:
+    """Rounded to six decimals, halves away from 0, and times a million."""
+    return (np.sign(x) * np.floor(np.abs(x) * 1e6 + 0.5)).astype(np.int64)
+
+
+def dealt_draws(keys: DataFrame, n_left: int, n_right: int, blocks: int, tries: int, seed: int, at_once: int = 1 << 20) -> DataFrame:
+    """(block, n, draws) of keys (key: src|dst): the pairs (u, v) that ``negatives`` draws for it, by blocks of u modulo ``blocks``.
+
+    A pair is u // blocks * n_right + v; many are sorted and kept as differences,
+    byte by byte, of 4 or 8 bytes each: a third of what rows of pairs take.
+    """
+    ends = [f"|{t}".encode() for t in range(tries)]
+
+    def draw(texts: list[bytes], side: bytes) -> np.ndarray:
+        head = f"{seed}|".encode() + side + b"|"
+        return first_words([head + x + e for x in texts for e in ends])
+
+    def pack(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+        block, code = u % blocks, u // blocks * n_right + v
+        order = np.lexsort((code, block))
+        block, code = block[order], code[order]
+        cut = np.flatnonzero(np.diff(block, prepend=-1))
+        rows = []
+        for lo, hi in zip(cut, [*cut[1:], len(code)]):
+            steps = np.diff(code[lo:hi], prepend=0)
+            steps = steps.astype("<u4") if steps.max() < 1 << 32 else steps.astype("<i8")
+            rows.append((int(block[lo]), int(hi - lo), steps.view(np.uint8).reshape(hi - lo, -1).T.tobytes()))
+        b, n, d = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(d, pa.binary())], ["block", "n", "draws"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        us, vs, have = [], [], 0
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            us.append(draw(texts, b"u") % max(1, n_left))
+            vs.append(draw(texts, b"v") % max(1, n_right))
+            have += len(us[-1])
+            if have >= at_once:
+                yield pack(np.concatenate(us), np.concatenate(vs))
+                us, vs, have = [], [], 0
+        if have:
+            yield pack(np.concatenate(us), np.concatenate(vs))
+
+    return keys.select("key").mapInArrow(run, "block long, n long, draws binary")
+
+
+def unpacked(n: list[int], draws: list[bytes]) -> np.ndarray:
+    """The pairs of rows of ``dealt_draws``."""
+    out = [np.zeros(0, np.int64)]
+    for k, x in zip(n, draws):
+        planes = np.frombuffer(x, np.uint8).reshape(-1, k).T
+        out.append(np.cumsum(np.ascontiguousarray(planes).view("<u4" if planes.shape[1] == 4 else "<i8").ravel().astype(np.int64)))
+    return np.concatenate(out)
+
+
+def link_scores(left: DataFrame, right: DataFrame, links: DataFrame, keys: DataFrame, wanted: int = 50, more: int = 2, tries: int = 3, seeds: tuple[int, int] = (17, 23), block: int = 20_000) -> DataFrame:
+    """(kind, value, p, c): what ``link_prediction`` counts, of held-out links against the pairs that ``negatives`` and ``ranking_negatives`` draw.
+
+    left, right: (i, node_id, v), numbered from 0, each node once; links: (i of
+    left, near, held), the numbers of the right nodes that it is linked with and
+    of those held out; keys: (key: src|dst) of all links, once each.
+    kind "score": of the scores, in millionths, how many are held out (p) and how
+    many in all (c). kind "better": the held-out links (c) by the number of their
+    own drawn ends that score higher.
+
+    A left node's links, held-out ones and drawn pairs meet in a block of
+    ``block`` left nodes or so; right is sent to every task. The ends that a link
+    is held against are drawn where it is and leave nothing but a count; of the
+    ``wanted * more`` tries, those after the first ``wanted`` only for links that
+    need them.
+    """
+    ends = right.toArrow().sort_by("i")
+    n_left, n_right = left.count(), ends.num_rows
+    blocks = max(1, -(-n_left // block))
+    number, name = ends["i"].to_numpy(), ends["node_id"].to_pylist()
+    y = np.array(ends["v"].to_pylist(), dtype=np.float64).reshape(n_right, -1)
+
+    def run(rows: pa.Table) -> pa.Table:
+        pick = lambda filled: rows.filter(pa.compute.is_valid(rows[filled]))
+        nodes, linked, told = pick("node_id").sort_by("i"), pick("near"), pick("draws")
+        own, src = nodes["i"].to_numpy(), nodes["node_id"].to_pylist()
+        x = np.array(nodes["v"].to_pylist(), dtype=np.float64).reshape(len(own), -1)
+        where = {z: j for j, z in enumerate(name)}
+
+        def pairs(column: str) -> tuple[np.ndarray, np.ndarray]:
+            """Places in own and number of the pairs that have both."""
+            lists = linked[column].combine_chunks()
+            lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+            a = np.repeat(places_in(own, linked["i"].to_numpy()), np.diff(lists.offsets.to_numpy()))
+            b = places_in(number, lists.flatten().to_numpy(zero_copy_only=False))
+            both = (a >= 0) & (b >= 0)
+            return a[both], b[both]
+
+        near = pairs("near")
+        itself = np.array([(j, where[z]) for j, z in enumerate(src) if z in where], dtype=np.int64).reshape(-1, 2)
+        # pairs that must not be drawn: links, and a node with itself
+        taken = np.unique(np.concatenate((near[0] * n_right + near[1], itself[:, 0] * n_right + itself[:, 1])))
+
+        def free(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            return (a >= 0) & (b >= 0) & (places_in(taken, a * n_right + b) < 0)
+
+        def score(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            total = np.zeros(np.broadcast(a, b).shape)
+            for k in range(min(x.shape[1], y.shape[1]) if len(x) and len(y) else 0):
+                total += x[a, k] * y[b, k]
+            return millionths(total)
+
+        code = unpacked(told["n"].to_pylist(), told["draws"].to_pylist())
+        first = int(rows["block"][0].as_py())
+        a, b = places_in(own, code // max(1, n_right) * blocks + first), places_in(number, code % max(1, n_right))
+        good = free(a, b)
+        negative = score(a[good], b[good])
+
+        a, b = pairs("held")
+        positive, better = score(a, b), np.zeros(len(a), dtype=np.int64)
+        for lo in range(0, len(a), 4096):
+            p, q, s = a[lo : lo + 4096], b[lo : lo + 4096], positive[lo : lo + 4096]
+            heads = [f"{seeds[1]}|{src[j]}|{name[z]}|".encode() for j, z in zip(p.tolist(), q.tolist())]
+            seen, above = np.zeros(len(p), dtype=np.int64), np.zeros(len(p), dtype=np.int64)
+            for turn in range(more):
+                need = np.flatnonzero(seen < wanted)
+                if not len(need):
+                    break
+                nth = [str(t).encode() for t in range(turn * wanted, (turn + 1) * wanted)]
+                i = first_words([heads[j] + t for j in need for t in nth]).reshape(len(need), wanted) % max(1, n_right)
+                z, u = places_in(number, i), np.broadcast_to(p[need, None], i.shape)
+                ok = free(u, z)
+                ok &= np.cumsum(ok, axis=1) + seen[need, None] <= wanted
+                above[need] += (ok & (score(u, z) > s[need, None])).sum(axis=1)
+                seen[need] += ok.sum(axis=1)
+            better[lo : lo + 4096] = above
+
+        value, inverse = np.unique(np.concatenate((positive, negative)), return_inverse=True)
+        p, c = np.bincount(inverse[: len(positive)], minlength=len(value)), np.bincount(inverse, minlength=len(value))
+        higher, n = np.unique(better, return_counts=True)
+        kind = pa.array(["score"] * len(value) + ["better"] * len(higher), pa.string())
+        columns = [np.concatenate(z).astype(np.int64) for z in ((value, higher), (p, np.zeros(len(higher))), (c, n))]
+        return pa.table([kind, *map(pa.array, columns)], ["kind", "value", "p", "c"])
+
+    of = (F.pmod("i", F.lit(blocks))).cast("long").alias("block")
+    none = lambda **kinds: [F.lit(None).cast(kind).alias(column) for column, kind in kinds.items()]
+    longs = "array<long>"
+    nodes_ = left.select(of, "i", "node_id", F.col("v").cast("array<double>").alias("v"), *none(near=longs, held=longs, n="long", draws="binary"))
+    links_ = links.select(of, "i", *none(node_id="string", v="array<double>"), "near", "held", *none(n="long", draws="binary"))
+    draws_ = dealt_draws(keys, n_left, n_right, blocks, tries, seeds[0]).select("block", *none(i="long", node_id="string", v="array<double>", near=longs, held=longs), "n", "draws")
+    got = nodes_.unionByName(links_).unionByName(draws_).groupBy("block").applyInArrow(run, "kind string, value long, p long, c long")
+    return got.groupBy("kind", "value").agg(F.sum("p").alias("p"), F.sum("c").alias("c"))
+
+
+def link_figures(counts: DataFrame, k: int = 10) -> DataFrame:
+    """(n, auc, hits, mrr) of ``link_scores``."""
+    from .evaluation import auc_of
+
+    ranks = counts.filter("kind = 'better'").agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.round(F.sum(F.when(F.col("value") < k, F.col("c")).otherwise(0)) / F.sum("c"), 6).alias("hits"),
+        F.round(F.sum(F.col("c") / (F.col("value") + 1)) / F.sum("c"), 6).alias("mrr"))
+    auc = auc_of(counts.filter("kind = 'score'").select(F.col("value").alias("score"), "p", "c"))
+    return auc.select("auc").join(F.broadcast(ranks), F.lit(True)).select("n", "auc", "hits", "mrr")  # one row each

@@ -296,3 +296,37 @@ def test_eval_set_relaxes_its_bounds(spark):
     docs = frame(spark, [(i, f"compound{'abcdefghijklmnopqrst'[i]} potent selective inhibitor targeting kinase") for i in range(20)] + [(20, ""), (21, "unique words alone")], "doc_id long, text string")
     got = {r["doc_id"]: r["query"] for r in querygen.eval_set(docs, 22).collect()}
     assert len(got) == 22 and "unique" in got[21] and "alone" in got[21] and got[20] == querygen.FRAMES[0].replace(" {}", "")
+
+
+def test_first_edges_are_the_test_edges(spark):
+    parts = [(frame(spark, [(i % 37, i) for i in range(n)] * 2, "s long, d long"), "a", "b", rel) for n, rel in ((900, "x"), (411, "y"))]
+    with graph.Store(spark) as store:
+        for share in (0.0, 0.0005, 0.1, 0.5):
+            kept = graph.gathered(store, parts) if not share else kept
+            test = graph.first_edges(kept, share)
+            want = {tuple(r) for r in graph.split_edges(graph.edges(parts), 0.1, share).filter("part = 'test'").select("src", "rel", "dst").collect()}
+            flat = [rows.select(graph.named("a", F.col("s")).alias("src"), F.lit(rel).alias("rel"), F.explode("near").alias("e")).withColumn("dst", graph.named("b", F.col("e.d"))) for rows, _, _, rel in kept]
+            got = [tuple(r) for rows in flat for r in rows.filter(test(F.col("src"), F.col("rel"), F.col("dst"), F.col("e.b"))).select("src", "rel", "dst").collect()]
+            assert len(got) == int(1311 * share) and set(got) == want
+
+
+def test_first_edges_within_a_hash_value(spark):
+    """Where the share ends among edges of one value of b, their order decides."""
+    rows = frame(spark, [(i, [(i + 1, 7), (i + 2, 7)]) for i in range(10)], "s long, near array<struct<d:long,b:int>>")
+    test = graph.first_edges([(rows, "a", "b", "x")], 0.25)
+    flat = rows.select(graph.named("a", F.col("s")).alias("src"), F.explode("near").alias("e")).withColumn("dst", graph.named("b", F.col("e.d")))
+    order = flat.select("src", "dst", graph.drawn(F.lit("13"), F.col("src"), F.lit("x"), F.col("dst")).alias("h")).orderBy("h").limit(5)
+    got = flat.filter(test(F.col("src"), F.lit("x"), F.col("dst"), F.col("e.b"))).select("src", "dst")
+    assert sorted(map(tuple, got.collect())) == sorted((r["src"], r["dst"]) for r in order.collect())
+
+
+@pytest.mark.parametrize("n_left, n_right", [(50, 9), (4_000_000, 3_000_000_000)])
+def test_dealt_draws_are_those_of_negatives(spark, n_left, n_right):
+    keys = frame(spark, [(f"a:{i}|b:{i % 5}",) for i in range(40)], "key string")
+    blocks, got = 3, []
+    for r in graph.dealt_draws(keys, n_left, n_right, blocks, 3, 17, 16).collect():
+        code = graph.unpacked([r["n"]], [bytes(r["draws"])])
+        got += zip((code // n_right * blocks + r["block"]).tolist(), (code % n_right).tolist())
+    draw = lambda side, n: F.conv(F.substring(graph.drawn(F.lit("17"), F.lit(side), "key", F.col("try").cast("string")), 1, 8), 16, 10).cast("long") % n
+    want = keys.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(draw("u", n_left), draw("v", n_right))
+    assert sorted(got) == sorted(map(tuple, want.collect()))
