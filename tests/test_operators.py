@@ -330,3 +330,12 @@ def test_dealt_draws_are_those_of_negatives(spark, n_left, n_right):
     draw = lambda side, n: F.conv(F.substring(graph.drawn(F.lit("17"), F.lit(side), "key", F.col("try").cast("string")), 1, 8), 16, 10).cast("long") % n
     want = keys.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(draw("u", n_left), draw("v", n_right))
     assert sorted(got) == sorted(map(tuple, want.collect()))
+
+
+def test_one_of():
+    rng = np.random.default_rng(3)
+    have, x = np.unique(rng.integers(-5, 3000, 700)), rng.integers(-9, 3009, (40, 50))
+    for part in (have, have[:1], have[:0], np.arange(40, 90)):
+        assert (graph.one_of(part)(x) == np.isin(x, part)).all()
+        at = graph.places_in(part, x)
+        assert ((at >= 0) == np.isin(x, part)).all() and (part[at[at >= 0]] == x[at >= 0]).all()
