@@ -408,6 +408,31 @@ def unpacked(n: list[int], draws: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
+COUNTS = "kind string, high long, counts binary"
+
+
+def packed_counts(kind: str, value: np.ndarray, p: np.ndarray, c: np.ndarray) -> pa.Table:
+    """COUNTS of values, sorted and each once: a row for all that differ in their last 12 bits only."""
+    high = value >> 12
+    cut = np.flatnonzero(np.diff(high, prepend=high[:1] - 1))
+    low, p, c = (value & 4095).astype("<u2"), p.astype("<u4"), c.astype("<u4")
+    packed = [low[a:b].tobytes() + p[a:b].tobytes() + c[a:b].tobytes() for a, b in zip(cut, [*cut[1:], len(value)])]
+    return pa.table([pa.array([kind] * len(cut), pa.string()), pa.array(high[cut], pa.int64()), pa.array(packed, pa.binary())], ["kind", "high", "counts"])
+
+
+def summed_counts(rows: pa.Table) -> pa.Table:
+    """(kind, value, p, c) of all COUNTS of a kind and high."""
+    p, c = np.zeros(4096, dtype=np.int64), np.zeros(4096, dtype=np.int64)
+    for x in rows["counts"].to_pylist():
+        n = len(x) // 10
+        low = np.frombuffer(x, "<u2", n)
+        p[low] += np.frombuffer(x, "<u4", n, 2 * n)
+        c[low] += np.frombuffer(x, "<u4", n, 6 * n)
+    some = np.flatnonzero(c)
+    kind = pa.array([rows["kind"][0].as_py()] * len(some), pa.string())
+    return pa.table([kind, pa.array(some + (rows["high"][0].as_py() << 12), pa.int64()), pa.array(p[some]), pa.array(c[some])], ["kind", "value", "p", "c"])
+
+
 def link_scores(left: DataFrame, right: DataFrame, links: DataFrame, keys: DataFrame, wanted: int = 50, more: int = 2, tries: int = 3, seeds: tuple[int, int] = (17, 23), block: tuple[int, int] = (20_000, 600_000)) -> DataFrame:
     """(kind, value, p, c): what ``link_prediction`` counts, of held-out links against the pairs that ``negatives`` and ``ranking_negatives`` draw.
 
@@ -490,9 +515,7 @@ def link_scores(left: DataFrame, right: DataFrame, links: DataFrame, keys: DataF
         value, inverse = np.unique(np.concatenate((positive, negative)), return_inverse=True)
         p, c = np.bincount(inverse[: len(positive)], minlength=len(value)), np.bincount(inverse, minlength=len(value))
         higher, n = np.unique(better, return_counts=True)
-        kind = pa.array(["score"] * len(value) + ["better"] * len(higher), pa.string())
-        columns = [np.concatenate(z).astype(np.int64) for z in ((value, higher), (p, np.zeros(len(higher))), (c, n))]
-        return pa.table([kind, *map(pa.array, columns)], ["kind", "value", "p", "c"])
+        return pa.concat_tables([packed_counts("score", value, p, c), packed_counts("better", higher, np.zeros(len(higher)), n)])
 
     of = (F.pmod("i", F.lit(blocks))).cast("long").alias("block")
     none = lambda **kinds: [F.lit(None).cast(kind).alias(column) for column, kind in kinds.items()]
@@ -500,8 +523,8 @@ def link_scores(left: DataFrame, right: DataFrame, links: DataFrame, keys: DataF
     nodes_ = left.select(of, "i", "node_id", F.col("v").cast("array<double>").alias("v"), *none(near=longs, held=longs, n="long", draws="binary"))
     links_ = links.select(of, "i", *none(node_id="string", v="array<double>"), "near", "held", *none(n="long", draws="binary"))
     draws_ = dealt_draws(keys, n_left, n_right, blocks, tries, seeds[0]).select("block", *none(i="long", node_id="string", v="array<double>", near=longs, held=longs), "n", "draws")
-    got = nodes_.unionByName(links_).unionByName(draws_).groupBy("block").applyInArrow(run, "kind string, value long, p long, c long")
-    return got.groupBy("kind", "value").agg(F.sum("p").alias("p"), F.sum("c").alias("c"))
+    got = nodes_.unionByName(links_).unionByName(draws_).groupBy("block").applyInArrow(run, COUNTS)
+    return got.groupBy("kind", "high").applyInArrow(summed_counts, "kind string, value long, p long, c long")
 
 
 def link_figures(counts: DataFrame, k: int = 10) -> DataFrame:

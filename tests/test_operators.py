@@ -339,3 +339,14 @@ def test_one_of():
         assert (graph.one_of(part)(x) == np.isin(x, part)).all()
         at = graph.places_in(part, x)
         assert ((at >= 0) == np.isin(x, part)).all() and (part[at[at >= 0]] == x[at >= 0]).all()
+
+
+def test_packed_counts():
+    value = np.array([-9000, -4097, -4096, -1, 0, 5, 4095, 4096, 99999])
+    p, c = np.arange(9), np.arange(9) + 1
+    rows, got = graph.packed_counts("score", value, p, c), []
+    for high in sorted(set(rows["high"].to_pylist())):
+        one = rows.filter(graph.pa.compute.equal(rows["high"], high))
+        got += graph.summed_counts(graph.pa.concat_tables([one, one])).to_pylist()
+    assert [(r["value"], r["p"], r["c"]) for r in got] == list(zip(value.tolist(), (2 * p).tolist(), (2 * c).tolist()))
+    assert not graph.packed_counts("better", value[:0], p[:0], c[:0]).num_rows
