@@ -16,19 +16,25 @@ those of its words; words that occur repeatedly share one forward pass.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import U64, mix, released, texts, unit, worker_cache
+from .common import U64, mix, released, texts, unit
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 LITERAL = "mark " + MARK  # has a space, so no word of a text is equal to it
+#: Whether a byte begins a character, and of how many bytes; 0xFF, which ends a word, does not.
+HEAD = np.array([b & 0xC0 != 0x80 and b != 0xFF for b in range(256)])
+WIDTH = np.array([1 + (b >= 0xC0) + (b >= 0xE0) + (b >= 0xF0) for b in range(256)])
 CHUNK = 1 << 20
 #: Bytes of text that are segmented at a time, about: the paths of their words take some hundred times as many.
 SAMPLED = 1 << 20
@@ -75,33 +81,69 @@ class Vocabulary:
                 if node == len(children):
                     children.append({})
             ends[node] = i
-        # an edge of the trie is (node, byte): few enough to be searched faster than a table of all nodes and bytes is read
-        edges = sorted((node << 8 | b, to) for node, own in enumerate(children) if node for b, to in own.items())
-        self.edge, self.to = (np.array([e[i] for e in edges] or [0], dtype=np.int32) for i in (0, 1))
+        # a double array: the node that byte b leads to from node n is base[n] + b, if its owner is n
+        place = placed(children)
+        self.base = np.zeros(int(place.max()) + 257, dtype=np.int32)
+        self.owner = np.full(len(self.base), -1, dtype=np.int32)
+        self.piece = np.full(len(self.base), -1, dtype=np.int32)
+        for node, own in enumerate(children):
+            if own:
+                self.base[place[node]] = place[next(iter(own.values()))] - next(iter(own))
+                self.owner[place[list(own.values())]] = place[node]
+        self.piece[place[list(ends)]] = list(ends.values())
         self.first = np.zeros(256, dtype=np.int32)  # from the root
         for b, to in children[0].items():
-            self.first[b] = to
-        self.piece = np.full(len(children), -1, dtype=np.int32)
-        self.piece[list(ends)] = list(ends.values())
+            self.first[b] = place[to]
         plain = [p.replace(mark, b" ") if kind == 1 else p for p, kind in pieces]
         self.length = np.array([len(p) for p in plain], dtype=np.int64)
         self.bytes = np.frombuffer(b"".join(plain) or b"\0", dtype=np.uint8)
         self.offset = np.cumsum(self.length) - self.length
+        self.span = np.array([len(p) for p, _ in pieces], dtype=np.int64)  # in a marked text
+        self.ready()
+
+    def ready(self) -> None:
+        """What is made anew where the vocabulary is unpacked."""
+        with np.errstate(over="ignore"):  # of pieces that only long words have
+            self.factor = np.exp(self.weight + 4.0 * self.span)  # times e**4 a byte: see shares
         self.known = Known()
 
-    def step(self, node: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        """The nodes that bytes lead to from nodes other than the root; 0 for none."""
-        want = node << 8 | byte
-        at = np.minimum(np.searchsorted(self.edge, want), len(self.edge) - 1)
-        return np.where(self.edge[at] == want, self.to[at], 0)
+    def step(self, node: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which nodes other than the root have a child by these bytes, and the children of those."""
+        to = self.base[node] + byte
+        found = np.flatnonzero(self.owner[to] == node)
+        return found, to[found]
+
+    def packed(self) -> bytes:
+        """What ``unpacked`` makes the same vocabulary of: under 1 MB, beyond which Spark writes a closure to a file."""
+        return zlib.compress(pickle.dumps({k: v for k, v in vars(self).items() if k not in ("factor", "known")}), 1)
 
 
-def vocabulary(pieces: list[tuple[bytes, int]], theta: float) -> Vocabulary:
-    cache = worker_cache()
-    key = ("pieces", len(pieces), hash(tuple(pieces)), theta)
-    if key not in cache:
-        cache[key] = Vocabulary(pieces, theta)
-    return cache[key]
+def unpacked(data: bytes) -> Vocabulary:
+    out = Vocabulary.__new__(Vocabulary)
+    vars(out).update(pickle.loads(zlib.decompress(data)))
+    out.ready()
+    return out
+
+
+def placed(children: list[dict[int, int]]) -> np.ndarray:
+    """The place of each node of a trie in its double array; that of the root is 0, others begin at 256."""
+    place = np.zeros(len(children), dtype=np.int64)
+    taken = bytearray(256 * len(children) + 512)
+    low = many = 256
+    for own in sorted(filter(None, children), key=len, reverse=True):
+        least = min(own)
+        shift = [b - least for b in own]
+        if len(own) == 1 < many:
+            low = 256  # these fill what the others left
+        many = len(own)
+        at = taken.index(0, low)
+        while any(taken[at + x] for x in shift):
+            at = taken.index(0, at + 1)
+        low = max(low, at - 64)
+        for b, to in own.items():
+            place[to] = at + b - least
+            taken[at + b - least] = 1
+    return place
 
 
 def pretokens(text: str) -> list[str]:
@@ -133,51 +175,50 @@ def lattice(vocab: Vocabulary, words: list[str]) -> tuple[np.ndarray, ...]:
     their node; then each node's first edge, and each word's first and last node.
     """
     raw = [MARK.encode() if w == LITERAL else w.encode() for w in words]
-    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
     size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-    begin = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(raw)), size)
-    stop = (begin + size)[word]  # of the word of each byte
-    head = (data & 0xC0) != 0x80
-    literal = np.fromiter((w == LITERAL for w in words), dtype=bool, count=len(words))[word]
-    at = np.flatnonzero(head & ~literal)
-    heads = np.flatnonzero(head)
-    width = np.zeros(len(data), dtype=np.int64)
-    width[heads] = np.diff(np.append(heads, len(data)))
+    # nodes: one per byte and word, and one at each word's end; there stands a byte that no UTF-8 has
+    data = np.frombuffer(b"\xff".join([*raw, b""]), dtype=np.uint8)
+    last = np.cumsum(size + 1) - 1
+    first = last - size
+    heads = np.flatnonzero(HEAD[data])
+    at = heads
+    if LITERAL in words:
+        own = words.index(LITERAL)
+        at = heads[(heads < first[own]) | (heads > last[own])]
     covered = np.zeros(len(data), dtype=bool)
-    node = np.zeros(len(at), dtype=np.int32)
-    src, dst, piece = [], [], []
-    length = 0
+    dst, piece = [], []
+    length = 1
+    node = vocab.first[data[at]]
+    alive = np.flatnonzero(node)
+    at, node = at[alive], node[alive]
     while len(at):
-        byte = data[at + length]
-        node = vocab.step(node, byte.astype(np.int32)) if length else vocab.first[byte]
-        length += 1
-        alive = node > 0
-        at, node = at[alive], node[alive]
         got = vocab.piece[node]
-        hit = got >= 0
-        src.append(at[hit])
-        dst.append(at[hit] + length)
-        piece.append(got[hit])
-        covered[at[hit][width[at[hit]] == length]] = True
-        more = at + length < stop[at]
-        at, node = at[more], node[more]
+        hit = np.flatnonzero(got >= 0)
+        got, to = got[hit], at[hit]
+        if length <= 4:
+            covered[to[WIDTH[data[to]] == length]] = True
+        dst.append(to + length)
+        piece.append(got)
+        alive, node = vocab.step(node, data[at + length])
+        at = at[alive]
+        length += 1
     # a character that is no piece by itself is spelled in bytes
-    lone = np.flatnonzero(~covered[np.maximum.accumulate(np.where(head, np.arange(len(data)), 0))]) if len(data) else heads
-    src.append(lone)
-    dst.append(lone + 1)
-    piece.append(vocab.byte[data[lone]])
-    src, dst, piece = np.concatenate(src), np.concatenate(dst), np.concatenate(piece)
-    # nodes: one per byte and word, and one at each word's end
-    first = begin + np.arange(len(raw))
-    of = word[src]
-    src, dst = src + of, dst + of
-    p = shares(vocab, src, dst, piece, first, size, of)
-    rest = p > 0
-    src, dst, piece, p = src[rest], dst[rest], piece[rest], p[rest]
-    order = radix(dst, radix(255 - (p * 255).astype(np.int64)))
+    lone = heads[~covered[heads]]
+    if len(lone):
+        width = WIDTH[data[lone]]
+        lone = np.concatenate([lone[width > k] + k for k in range(4)])
+        dst.append(lone + 1)
+        piece.append(vocab.byte[data[lone]])
+    none = np.empty(0, dtype=np.int64)
+    dst, piece = np.concatenate([none, *dst]), np.concatenate([none.astype(np.int32), *piece])
+    src = dst - vocab.span[piece]
+    p = shares(vocab, src, dst, piece, first, size)
+    rest = np.flatnonzero(p > 0)
+    if len(rest) < len(p):
+        src, dst, piece, p = src[rest], dst[rest], piece[rest], p[rest]
+    order = falling(dst, p)
     src, dst, piece, p = src[order], dst[order], piece[order], p[order]
-    into = np.concatenate(([0], np.cumsum(np.bincount(dst, minlength=len(data) + len(raw)))))
+    into = np.concatenate(([0], np.cumsum(np.bincount(dst, minlength=len(data)))))
     # sums within a node, of its own shares alone: they don't depend on the other words
     upto = p.copy()
     rank = np.arange(len(dst)) - into[dst]
@@ -185,7 +226,17 @@ def lattice(vocab: Vocabulary, words: list[str]) -> tuple[np.ndarray, ...]:
         e = np.flatnonzero(rank == k) if k == 1 else e[rank[np.minimum(e + 1, len(rank) - 1)] == k] + 1
         upto[e] += upto[e - 1]
     upto[into[1:][into[1:] > into[:-1]] - 1] = 2.0  # the last edge of a node takes what is left
-    return src, piece, upto, into, first, first + size
+    return src, piece, upto, into, first, last
+
+
+def falling(dst: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """The order by node and about by falling probability, stable."""
+    rank = 255 - (p * 255).astype(np.int64)
+    bits = len(dst).bit_length()
+    if int(dst.max(initial=0)).bit_length() + 8 + bits > 63:
+        return radix(dst, radix(rank))
+    # numbers are sorted faster than their places: the place is the lowest part of each
+    return np.sort((dst << 8 | rank) << bits | np.arange(len(dst))) & ((1 << bits) - 1)
 
 
 def radix(key: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
@@ -200,29 +251,33 @@ def radix(key: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
 SHORT = 48
 
 
-def shares(vocab: Vocabulary, src, dst, piece, first, size, of) -> np.ndarray:
+def shares(vocab: Vocabulary, src, dst, piece, first, size) -> np.ndarray:
     """Each edge's share of the weight of all paths to the node that it enters.
 
     Weights are multiplied by e**4 a byte, which favours no path, since all paths
     to a node have the same bytes: short words then stay within float64.
     """
-    deep = dst - first[of]
     alpha = np.zeros(int((first + size).max(initial=0)) + 1)
     alpha[first] = 1.0
-    weight = np.exp(vocab.weight[piece] + 4.0 * (dst - src))
-    long = size[of] > SHORT
-    order = radix(np.where(long, 0, deep))
-    s, d, w, e = src[order], dst[order], weight[order], deep[order]
-    begin = int(long.sum())
-    counts = np.bincount(e[begin:], minlength=1) if len(e) > begin else np.zeros(1, dtype=np.int64)
-    hi = begin
+    weight = vocab.factor[piece]
+    deep = (np.arange(len(alpha)) - np.repeat(first, size + 1))[dst]
+    edges = np.empty(0, dtype=np.int64)  # of long words
+    if int(size.max(initial=0)) > SHORT:
+        long = np.repeat(size > SHORT, size + 1)[dst]
+        edges = np.flatnonzero(long)
+        deep[edges] = 0
+    order = radix(deep)
+    counts = np.bincount(deep, minlength=1)
+    s, d, w = src[order], dst[order], weight[order]
+    hi = len(edges)
     for n in counts[1:].tolist():
         lo, hi = hi, hi + n
         np.add.at(alpha, d[lo:hi], alpha[s[lo:hi]] * w[lo:hi])
     with np.errstate(divide="ignore", invalid="ignore"):
-        p = np.where(long, 0.0, alpha[src] * weight / alpha[dst])
-    if begin:
-        edges = np.flatnonzero(long)
+        p = alpha[src] * weight / alpha[dst]
+    if len(edges):
+        p[edges] = 0.0
+        of = np.repeat(np.arange(len(size)), size + 1)[dst]
         edges = edges[np.argsort(dst[edges], kind="stable")]
         logs: dict[int, float] = {}
         enter: dict[int, list[tuple[int, float]]] = {}
@@ -240,33 +295,45 @@ def shares(vocab: Vocabulary, src, dst, piece, first, size, of) -> np.ndarray:
     return p
 
 
+class Numbers(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Known:
-    """The lattices of the words met last by this worker, at most ``most`` of them."""
+    """The lattices of the words met last by this worker: of about ``most`` edges, and those of one more text or block of texts."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 4_000_000):
         self.most = most
         self.clear()
 
     def clear(self) -> None:
-        self.word: dict[str, int] = {}
-        none = np.empty(0, dtype=np.int32)
-        self.held = (none, none, np.empty(0), none, none, none)
+        self.word = Numbers()
+        # by edge: piece, summed probability; by node: the first edge; by word: the first node and the last
+        self.held = [np.empty(0, dtype=x) for x in (np.int32, np.float64, np.int32, np.int32, np.int32)]
+        self.size = [0, 0, 0]  # of edges, nodes, words
 
     def get(self, vocab: Vocabulary, words: list[str]) -> tuple[np.ndarray, ...]:
         """The lattices, and the number of each of these words in them."""
-        new = [w for w in words if w not in self.word]
-        if len(self.word) + len(new) > self.most:
+        if self.size[0] > self.most:
             self.clear()
-            new = words
-        if new:
-            src, piece, upto, into, first, last = self.held
-            s, p, u, i, f, t = lattice(vocab, new)
-            n = len(into) - 1 if len(into) else 0  # nodes so far
-            self.held = tuple(np.concatenate(x) for x in (
-                (src, (s + n).astype(np.int32)), (piece, p), (upto, u), (into[:n], (i + len(src)).astype(np.int32)),
-                (first, (f + n).astype(np.int32)), (last, (t + n).astype(np.int32))))
-            self.word.update(zip(new, range(len(self.word), len(self.word) + len(new))))
-        return *self.held, np.fromiter(map(self.word.__getitem__, words), dtype=np.int64, count=len(words))
+        have = len(self.word)
+        which = np.fromiter(map(self.word.__getitem__, words), dtype=np.int64, count=len(words))
+        if len(self.word) > have:
+            _, piece, upto, into, first, last = lattice(vocab, list(islice(self.word, have, None)))
+            edges, nodes, n = self.size
+            new = (piece, upto, into[:-1] + edges, first + nodes, last + nodes)
+            for i, (at, x) in enumerate(zip((edges, edges, nodes, n, n), new)):
+                if at + len(x) > len(self.held[i]):
+                    room = np.empty(max(at + len(x), 2 * len(self.held[i])), dtype=self.held[i].dtype)
+                    room[:at] = self.held[i][:at]
+                    self.held[i] = room
+                self.held[i][at : at + len(x)] = x
+            self.size = [edges + len(piece), nodes + len(into) - 1, n + len(first)]
+        return *self.held, which
 
 
 def sample(vocab: Vocabulary, docs: list[list[str]], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -279,17 +346,18 @@ def sample(vocab: Vocabulary, docs: list[list[str]], keys: np.ndarray) -> tuple[
     if not len(flat):
         return np.empty(0, dtype=np.int32), np.zeros(len(docs) + 1, dtype=np.int64)
     which, distinct = pd.factorize(flat)
-    src, piece, upto, into, first, last, ids = vocab.known.get(vocab, list(distinct))
+    piece, upto, into, first, last, ids = vocab.known.get(vocab, list(distinct))
     which = ids[which]
     begin = np.cumsum(counts) - counts
     place = np.arange(len(flat)) - np.repeat(begin, counts)
     stream = mix(np.repeat(keys, counts) + mix(place.astype(U64) + U64(1)))
     at, goal = last[which], first[which]
     live = np.arange(len(flat))
+    taken = np.empty(len(flat), dtype=np.int64)
     steps, drawn = [], []
     t = 0
     while len(live):
-        u = unit(mix(stream[live] + U64((0x9E3779B97F4A7C15 * (t + 1)) & (2**64 - 1))))
+        u = unit(mix(stream + U64((0x9E3779B97F4A7C15 * (t + 1)) & (2**64 - 1))))
         edge = into[at]
         late = np.flatnonzero(u > upto[edge])
         while len(late):
@@ -297,13 +365,11 @@ def sample(vocab: Vocabulary, docs: list[list[str]], keys: np.ndarray) -> tuple[
             late = late[u[late] > upto[edge[late]]]
         steps.append(live)
         drawn.append(piece[edge])
-        at = src[edge]
-        more = at > goal
-        live, at, goal = live[more], at[more], goal[more]
+        at = at - vocab.span[drawn[-1]]
         t += 1
-    taken = np.zeros(len(flat), dtype=np.int64)
-    for s in steps:
-        taken[s] += 1
+        taken[live[at <= goal]] = t
+        more = np.flatnonzero(at > goal)
+        live, at, goal, stream = live[more], at[more], goal[more], stream[more]
     end = np.cumsum(taken)
     ids = np.empty(int(end[-1]), dtype=np.int32)
     for t, (s, d) in enumerate(zip(steps, drawn)):
@@ -343,10 +409,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     An empty table gives no rows; columns other than the two named are not
     read.
     """
-    pieces = load_pieces(model)
+    data = Vocabulary(load_pieces(model), theta).packed()
 
     def run(batches):
-        vocab = vocabulary(pieces, theta)
+        vocab = unpacked(data)
         for batch in batches:
             items = batch.column("text").to_pylist()
             keys = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
@@ -368,10 +434,10 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model: s
 
     from .common import quoted
 
-    pieces = load_pieces(model)
+    data = Vocabulary(load_pieces(model), 1.0).packed()
 
     def run(batches):
-        vocab = vocabulary(pieces, 1.0)
+        vocab = unpacked(data)
         for batch in batches:
             lists = batch.column("ids")
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)

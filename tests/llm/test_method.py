@@ -114,6 +114,44 @@ def test_segmentations_against_all_of_them():
     assert all(np.allclose(x, y) for x, y in zip((src, piece, upto, into, first, last), logs))
 
 
+def test_words_met_again_are_not_filtered_again(monkeypatch):
+    filtered = []
+    plain = sentencepiece_sampling.lattice
+    monkeypatch.setattr(sentencepiece_sampling, "lattice", lambda vocab, words: (filtered.append(len(words)), plain(vocab, words))[1])
+    vocab = sentencepiece_sampling.Vocabulary([(x.encode(), 1) for x in ("▁", *"0123456789")] + [(bytes([i]), 2) for i in range(256)], 1.0)
+    blocks = [[[f"▁{i}" for i in range(at, at + 20_000)]] for at in range(0, 160_000, 20_000)]
+    keys = np.ones(1, dtype=np.uint64)
+    once = [sentencepiece_sampling.sample(vocab, x, keys)[0].tolist() for x in blocks]
+    again = [sentencepiece_sampling.sample(vocab, x, keys)[0].tolist() for x in blocks]
+    assert sum(filtered) == 160_000 and once == again
+    # a bound on what is kept changes no segmentation
+    vocab.known = sentencepiece_sampling.Known(1_000)
+    assert [sentencepiece_sampling.sample(vocab, x, keys)[0].tolist() for x in blocks] == once
+    assert vocab.known.size[2] == 20_000
+
+
+def test_edges_are_all_places_of_all_pieces():
+    mark = sentencepiece_sampling.MARK
+    pieces = sentencepiece_sampling.load_pieces()
+    vocab = sentencepiece_sampling.unpacked(sentencepiece_sampling.Vocabulary(pieces, 1.0).packed())
+    held = {p: i for i, (p, kind) in enumerate(pieces) if kind == 1 and (mark.encode() not in p.lstrip(mark.encode()) or not p.strip(mark.encode()))}
+    words = [mark + "internationalisation", mark, mark * 5, "a", "\n", "\0", mark + "é中🙂\0\x7f\u0800\uffff\U0010ffff", "the" * 30, sentencepiece_sampling.LITERAL, "ab\0c"]
+    src, piece, _, _, first, last = sentencepiece_sampling.lattice(vocab, words)
+    got = sorted(zip(src.tolist(), piece.tolist()))
+    want = []
+    for w, start, end in zip(words, first.tolist(), last.tolist()):
+        data = (mark if w == sentencepiece_sampling.LITERAL else w).encode()
+        assert end - start == len(data)
+        if w != sentencepiece_sampling.LITERAL:
+            want += [(start + a, held[data[a:b]]) for a in range(len(data)) for b in range(a + 1, len(data) + 1) if data[a:b] in held]
+        at = 0
+        for c in data.decode():
+            if c.encode() not in held or w == sentencepiece_sampling.LITERAL:
+                want += [(start + at + i, int(vocab.byte[b])) for i, b in enumerate(c.encode())]
+            at += len(c.encode())
+    assert got == sorted(want)
+
+
 # ---- op2
 
 
