@@ -341,11 +341,14 @@ def sample(vocab: Vocabulary, docs: list[list[str]], keys: np.ndarray) -> tuple[
     import pandas as pd
 
     counts = np.fromiter(map(len, docs), dtype=np.int64, count=len(docs))
-    flat = np.empty(int(counts.sum()), dtype=object)
-    flat[:] = [w for d in docs for w in d]
-    if not len(flat):
+    flat = [w for d in docs for w in d]
+    if not flat:
         return np.empty(0, dtype=np.int32), np.zeros(len(docs) + 1, dtype=np.int64)
-    which, distinct = pd.factorize(flat)
+    if "\0" in "".join(flat):  # where pandas takes a string to end
+        distinct = Numbers()
+        which = np.fromiter(map(distinct.__getitem__, flat), dtype=np.int64, count=len(flat))
+    else:
+        which, distinct = pd.factorize(np.array(flat, dtype=object))
     piece, upto, into, first, last, ids = vocab.known.get(vocab, list(distinct))
     which = ids[which]
     begin = np.cumsum(counts) - counts

@@ -152,6 +152,13 @@ def test_edges_are_all_places_of_all_pieces():
     assert got == sorted(want)
 
 
+def test_words_that_differ_after_a_nul_stay_apart():
+    vocab = sentencepiece_sampling.Vocabulary(sentencepiece_sampling.load_pieces(), 1.0)
+    rows = ["a\0b a a\0 a\0c \0 \0\0", "a", "\0", "", "\0\0 a\0b"]
+    ids, offsets = sentencepiece_sampling.sample(vocab, [sentencepiece_sampling.pretokens(x) for x in rows], np.arange(5).astype(np.uint64))
+    assert sentencepiece_sampling.decoded(vocab, ids, offsets) == [x.encode() for x in rows]
+
+
 # ---- op2
 
 
